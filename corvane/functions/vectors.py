@@ -33,11 +33,11 @@ def fit_dimensions(v: Column, dimensions: int) -> Column:
 def hashed_tokens_embedding(dimensions: int = DIMENSIONS, chars: int = EMBED_CHARS):
     """Signed feature hashing of tokens, unit length: an offline embedding.
 
-    Returns an Arrow UDF ``text -> array<float>``. Slot and sign of a token come from
+    Returns an Arrow UDF ``text -> array<double>``. Slot and sign of a token come from
     its digest, so equal texts get equal vectors on every executor.
     """
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
         word = re.compile("[a-z0-9]+")
         slots: dict[str, tuple[int, float]] = {}
