@@ -94,26 +94,40 @@ def first_label(hay: Column, table) -> Column:
     return chain.otherwise("")
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once.
+
+    Inside a lambda an outer expression is evaluated again for every element; a bound
+    lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def snippet(text: Column, query_tokens: Column, chars: int = 320) -> Column:
     """Window of ``chars`` around the first query-token hit, with ellipses."""
-    compact = collapse_space(text)
-    lower = F.lower(compact)
-    hits = F.filter(F.transform(query_tokens, lambda t: F.instr(lower, t) - 1), lambda p: p >= 0)
-    first = F.coalesce(F.array_min(hits), F.lit(0))
-    start = F.greatest(F.lit(0), first - chars // 4)
-    body = strip(F.substring(compact, start + 1, F.lit(chars)))
-    body = F.when(start > 0, F.concat(F.lit("..."), body)).otherwise(body)
-    tail = start + chars < F.length(compact)
-    body = F.when(tail, F.concat(F.rtrim(body, F.lit(SPACE_CHARS)), F.lit("..."))).otherwise(body)
-    return F.when(F.length(compact) <= chars, compact).otherwise(body)
+
+    def first_hit(lower: Column) -> Column:
+        hits = F.filter(F.transform(query_tokens, lambda t: F.instr(lower, t) - 1), lambda p: p >= 0)
+        return F.coalesce(F.array_min(hits), F.lit(0))
+
+    def cut(compact: Column) -> Column:
+        start = F.greatest(F.lit(0), bind(F.lower(compact), first_hit) - chars // 4)
+        return bind(start, lambda st: window(compact, st))
+
+    def window(compact: Column, start: Column) -> Column:
+        body = strip(F.substring(compact, start + 1, F.lit(chars)))
+        body = F.when(start > 0, F.concat(F.lit("..."), body)).otherwise(body)
+        cut_off = F.concat(F.rtrim(body, F.lit(SPACE_CHARS)), F.lit("..."))
+        return F.when(start + chars < F.length(compact), cut_off).otherwise(body)
+
+    return bind(collapse_space(text), lambda c: F.when(F.length(c) <= chars, c).otherwise(cut(c)))
 
 
 def keyword_score(query_tokens: Column, title: Column, text: Column) -> Column:
     """0.4 per token inside the title, 0.1 per whole-word hit, 0.8 for the phrase."""
-    title_l = F.lower(title)
     hay = F.lower(F.concat_ws("\n", title, text))
     distinct = F.array_distinct(query_tokens)
-    in_title = F.size(F.filter(distinct, lambda t: title_l.contains(t)))
+    in_title = bind(F.lower(title), lambda low: F.size(F.filter(distinct, lambda t: low.contains(t))))
     words = F.size(F.array_intersect(distinct, F.split(hay, r"[^\p{L}\p{N}_]+")))
     phrase = F.array_join(query_tokens, " ")
     return (
