@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # call-site capture costs a stack walk for every column expression built
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -28,6 +30,13 @@ def build_session(app: str = "corvane", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Set on a given session the defaults that can still be changed there."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
+        spark.conf.set(key, DEFAULTS[key])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
