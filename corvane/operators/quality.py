@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.numbers import round_exact
 from corvane.functions.text import (
     SPACE, bind, collapse_space, first_filled, split_lines, strip, text_or_empty, word_count,
 )
@@ -133,7 +134,7 @@ def assess(df: DataFrame, text: str = "text", parser_kind: str = "", seen: str |
     pdf = F.col("has_pdf_signature") | F.col("has_pdf_object_stream")
     return (
         rows.withColumn("reasons", reasons)
-        .withColumn("boilerplate_ratio", F.round("_boiler", 4)).withColumn("link_line_ratio", F.round("_link", 4))
+        .withColumn("boilerplate_ratio", round_exact(F.col("_boiler"), 4)).withColumn("link_line_ratio", round_exact(F.col("_link"), 4))
         .withColumn("recommended_parser_route", F.when(pdf, "pdf").otherwise(parser_kind or "markdown"))
         .drop("_lines", "_sorted", "_repeated", "_cleaned_words", "_n", "_chrome", "_links", "_boiler", "_link", "_low")
     )
@@ -235,7 +236,7 @@ def scrape_score(failure: Column, text_length: Column, markdown_chars: Column, l
     part = lambda c, top: F.least(F.greatest(c, F.lit(0)), F.lit(top)) / F.lit(float(top))
     penalty = F.when(link_density > 0.25, F.least((link_density - 0.25) * 40.0, F.lit(20.0))).otherwise(0.0)
     score = 45.0 + part(text_length, 4000) * 35.0 + part(markdown_chars, 6000) * 20.0 - penalty
-    ok = F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(100.0))), 2)
+    ok = round_exact(F.greatest(F.lit(0.0), F.least(score, F.lit(100.0))), 2)
     return F.when(text_or_empty(failure) != "", 0.0).otherwise(ok)
 
 
@@ -247,10 +248,10 @@ def mode_summary(results: DataFrame, mode: str = "mode") -> DataFrame:
     return results.groupBy(mode).agg(
         F.count(F.lit(1)).alias("sample_count"), F.count_if(ok).alias("success_count"),
         F.count_if(~ok).alias("failure_count"),
-        F.round(F.count_if(ok) / F.count(F.lit(1)), 4).alias("success_rate"),
-        F.round(F.avg(seconds), 4).alias("avg_elapsed_sec"),
-        F.when(F.sum(seconds) > 0, F.round(F.count(F.lit(1)) / F.sum(seconds) * 60.0, 2)).otherwise(0.0).alias("pages_per_min"),
-        F.coalesce(F.round(F.avg(won("quality_score")), 2), F.lit(0.0)).alias("avg_quality_success"),
+        round_exact(F.count_if(ok) / F.count(F.lit(1)), 4).alias("success_rate"),
+        round_exact(F.avg(seconds), 4).alias("avg_elapsed_sec"),
+        F.when(F.sum(seconds) > 0, round_exact(F.count(F.lit(1)) / F.sum(seconds) * 60.0, 2)).otherwise(0.0).alias("pages_per_min"),
+        F.coalesce(round_exact(F.avg(won("quality_score")), 2), F.lit(0.0)).alias("avg_quality_success"),
         F.coalesce(F.floor(F.median(won("text_length"))), F.lit(0)).cast("long").alias("median_text_length_success"),
         F.coalesce(F.floor(F.median(won("markdown_chars"))), F.lit(0)).cast("long").alias("median_markdown_chars_success"),
     )
