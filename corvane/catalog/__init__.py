@@ -1,4 +1,4 @@
 """Registered queries and the SQL each one must agree with."""
 
 from corvane.catalog.registry import ORACLES, QUERIES
-from corvane.catalog import answers, corpus, crawling, quality, sources  # noqa: F401
+from corvane.catalog import answers, corpus, crawling, metrics, quality, sources  # noqa: F401

@@ -9,7 +9,7 @@ from corvane.functions.numbers import round_exact
 from corvane.functions.text import (
     SPACE, bind, collapse_space, first_filled, split_lines, strip, text_or_empty, word_count,
 )
-from corvane.operators.relational import seen_before, top_k
+from corvane.operators.relational import constants, seen_before, top_k
 
 ACTIONS = ("approved", "cleaned", "needs_review", "quarantined")
 
@@ -155,7 +155,7 @@ def summarize(records: DataFrame, pos: str, id_col: str = "source_id", examples:
     first = top_k(known.select("action", id_col, pos), ["action"], [F.col(pos)], examples, "_r")
     shown = first.groupBy("action").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", id_col))), lambda s: s[id_col]).alias("examples"))
-    every = records.sparkSession.createDataFrame([(a,) for a in ACTIONS], "action string")
+    every = constants(records.sparkSession, [(a,) for a in ACTIONS], "action")
     return every.join(counts, "action", "left").join(shown, "action", "left").select(
         "action", F.coalesce("n", F.lit(0)).alias("n"),
         F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
