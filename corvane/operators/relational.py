@@ -138,8 +138,13 @@ def breakdowns(df: DataFrame, keys: list[str], dims: list[str], value: Column, o
 
 def constants(spark, rows: list[tuple], names: str) -> DataFrame:
     """A table of constants as a local relation: known size, no Python rows."""
-    marks = ", ".join("(" + ", ".join("?" for _ in row) + ")" for row in rows)
-    return spark.sql(f"SELECT * FROM VALUES {marks} AS t({names})", args=[v for row in rows for v in row])
+    def text(value) -> str:
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+    values = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
