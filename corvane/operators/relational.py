@@ -77,7 +77,7 @@ def lookup(
     keys: list[str],
     weight: str,
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     salts: int = SALTS,
     spread: list[str] | None = None,
 ) -> DataFrame:
@@ -89,6 +89,7 @@ def lookup(
     which bounds the list of hot keys; the planner broadcasts it by its size.
     ``weight`` is dropped.
     """
+    hot_rows = hot_rows or HOT_ROWS
     hot = dim.filter(F.col(weight) >= hot_rows).select(*keys).distinct().withColumn("_hot", F.lit(True))
     spread_by = spread or [c for c in fact.columns if c not in keys] or keys
     tagged = fact.join(hot, keys, "left").withColumn(
