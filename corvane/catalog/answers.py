@@ -140,7 +140,7 @@ boosted AS (SELECT qid, id, CASE WHEN page_type = 'semantic' THEN coalesce(score
     + CASE WHEN {_any('ql', intent.GRADUATE_WORDS)} AND ends_with(path, '/graduate.md') THEN 20 ELSE 0 END
     + CASE WHEN {_SEVERAL} >= 2 AND ({_WANTED}) THEN 30 ELSE 0 END
   ELSE score * 0.85 END AS score FROM pairs),
-wiki_hits AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM boosted) WHERE rank <= 50)"""
+wiki_hits AS (SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM boosted) WHERE rank <= 50)"""
 
 SUPPORT = f"""
 cited AS (SELECT DISTINCT qid, source_id FROM (SELECT w.qid, unnest(d.source_ids) AS source_id FROM wiki_hits w JOIN rdocs d USING (id))),
@@ -249,8 +249,8 @@ evidence AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER
 def q_boosted(spark, sf):
     docs = through_table(ranked_docs(spark, sf), "index").filter("corpus = 'wiki'")
     q = questions(spark, sf)
-    scores = ranking.bm25_scores(docs, q).select("qid", "id", "score")
-    return retrieval.boost_semantic(scores, docs, q, 50).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    best = ranking.bm25_top(docs.withColumn("page_class", retrieval.page_class()), q, 50, by=("page_class",))
+    return retrieval.boost_semantic(best, docs, q, 50).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("lexical_leg", f"""

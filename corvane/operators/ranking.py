@@ -7,7 +7,12 @@ Tables used here:
 * postings  ``(corpus, id, term, tf)``
 * scores    ``(qid, corpus, id, score)``
 
-Shuffle plan of the scoring functions: the token rows are first cut down to the
+Two forms of both scores. ``bm25_top`` and ``tfidf_top`` give the best ``k`` of a small
+query set: document frequencies first, then one pass that scores blocks of chunks as
+matrix products and shuffles only each task's best rows. ``bm25_scores`` and
+``tfidf_scores`` give every score, for query sets of any size.
+
+Shuffle plan of the full scores: the token rows are first cut down to the
 query vocabulary where they are read, then partitioned once by ``id``. Term counts,
 the join to the query terms and the per-query sums all keep that partitioning, so
 the wide ``(qid, id)`` rows are never exchanged; only each task's best ``k`` rows of a
@@ -16,10 +21,13 @@ query are. The one join on ``term`` against a shuffled side salts hot terms.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import content_tokens, search_tokens, tokens
+from corvane.operators.blocks import BLOCK_CELLS, block_top_k, token_weights
 from corvane.operators.relational import is_small, lookup, top_k
 
 K1, B = 1.5, 0.75
@@ -61,8 +69,10 @@ def _vocabulary_rows(docs: DataFrame, tokens_of, terms: DataFrame, cols: list[st
     if small:
         vocabulary = F.broadcast(vocabulary)
     hits = term_rows(docs, tokens_of, cols).join(vocabulary, "term", "left_semi")
+    # a given number of partitions is not coalesced: these rows are few bytes but much work
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        hits.repartition("id")
+        hits.repartition(parts, "id")
         .groupBy(*cols, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -84,21 +94,23 @@ def _round_score(total):
     return F.round(total, SCORE_DIGITS).alias("score")
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(
+    docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """BM25 of every matching chunk for every query over ``docs``.
 
     The text is title and body without stop words; query terms are distinct; chunks
-    without content tokens count neither for N nor for the average length.
+    without content tokens count neither for N nor for the average length. Small columns
+    named in ``carry`` travel with the chunk, which saves a join of all scores later.
     """
     terms = query_terms(queries, search_tokens(F.col("query"))).select("qid", "term")
-    body = (
-        docs.select("id", "corpus", content_tokens(F.concat_ws("\n", "title", "text")).alias("_t"))
-        .withColumn("dl", F.size("_t"))
-        .filter(F.col("dl") > 0)
-    )
-    corpus = body.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    # no filter on the length: it would be pushed below and tokenise every text twice
+    tokenised = docs.select("id", "corpus", *carry, content_tokens(F.concat_ws("\n", "title", "text")).alias("_t"))
+    body = tokenised.withColumn("dl", F.size("_t"))
+    corpus = body.agg(F.count_if(F.col("dl") > 0).alias("n_docs"), F.sum("dl").alias("_all")).select(
+        "n_docs", (F.col("_all") / F.col("n_docs")).alias("avgdl"))
     small = is_small(queries)
-    hits = _vocabulary_rows(body, F.col("_t"), terms, ["id", "corpus", "dl"], small)
+    hits = _vocabulary_rows(body, F.col("_t"), terms, ["id", "corpus", *carry, "dl"], small)
     dfs = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = terms.join(dfs, "term").join(F.broadcast(corpus), F.lit(True)).select(
         "qid", "term", "avgdl", "df",
@@ -109,7 +121,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     )
     return (
         _weigh(hits, weighted, ["term"], small)
-        .groupBy("qid", "corpus", "id")
+        .groupBy("qid", "corpus", "id", *carry)
         .agg(_round_score(F.sum(part)))
         .filter(F.col("score") > 0)
     )
@@ -136,6 +148,93 @@ def tfidf_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+MAX_MATRIX_CELLS = 8_000_000
+
+
+def _small_terms(queries: DataFrame, tokens_of) -> tuple[list, dict, list[tuple]] | None:
+    """Query ids, vocabulary positions and ``(qid, term, qtf)``; None for a large set.
+
+    Small means that a dense matrix of terms by queries fits a task.
+    """
+    if not is_small(queries):
+        return None
+    rows = query_terms(queries, tokens_of).limit(MAX_MATRIX_CELLS // 4 + 1).collect()
+    qids = sorted({r["qid"] for r in rows})
+    places = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+    if len(qids) * len(places) > MAX_MATRIX_CELLS or len(rows) > MAX_MATRIX_CELLS // 4:
+        return None
+    return qids, places, [(r["qid"], r["term"], r["qtf"]) for r in rows]
+
+
+def _document_frequency(rows: DataFrame, places: dict, keys: list[str]) -> list:
+    """Chunks holding each vocabulary term; the vocabulary is bounded by the caller."""
+    spark = rows.sparkSession
+    vocabulary = spark.createDataFrame(pa.table({"term": pa.array(list(places), pa.string())}))
+    per_chunk = rows.select(*keys, F.explode(F.array_distinct("tokens")).alias("term"))
+    return per_chunk.join(F.broadcast(vocabulary), "term").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df")).collect()
+
+
+def bm25_top(
+    docs: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), k1: float = K1, b: float = B
+) -> DataFrame:
+    """``(qid, by..., id, score, rank)``: best ``k`` chunks of each query and group by BM25."""
+    small = _small_terms(queries, search_tokens(F.col("query")))
+    order = [F.col("score").desc(), F.col("id")]
+    if small is None:
+        carry = tuple(c for c in by if c != "corpus")
+        return top_k(bm25_scores(docs, queries, k1, b, carry).select("qid", *by, "id", "score"), ["qid", *by], order, k)
+    qids, places, rows = small
+    body = docs.select("id", *by, content_tokens(F.concat_ws("\n", "title", "text")).alias("tokens"))
+    size = F.size("tokens")
+    n_docs, total = body.agg(F.count_if(size > 0), F.sum(size)).first()
+    matrix = np.zeros((len(places), len(qids)))
+    df = {r["term"]: r["df"] for r in _document_frequency(body, places, [])}
+    where = {q: i for i, q in enumerate(qids)}
+    for qid, term, _ in rows:
+        if term in df:
+            matrix[places[term], where[qid]] = np.log(1.0 + (n_docs - df[term] + 0.5) / (df[term] + 0.5))
+    mean = (total or 0) / n_docs if n_docs else 1.0
+    shared = docs.sparkSession.sparkContext.broadcast((list(places), matrix))
+
+    def score(batch, positions, key):
+        terms, weights = shared.value
+        tf, lengths = token_weights(batch, positions, pa.array(terms, pa.string()))
+        return ((tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * lengths[:, None] / mean)) @ weights).T
+
+    return block_top_k(
+        body, qids, queries.schema["qid"].dataType, list(by), k, score, lambda s: s > 0, _block_rows(places))
+
+
+def _block_rows(places: dict) -> int:
+    return max(16, BLOCK_CELLS // max(len(places), 1))
+
+
+def tfidf_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(qid, corpus, id, score, rank)``: best ``k`` chunks of each query and corpus."""
+    small = _small_terms(queries, tokens(F.col("query")))
+    if small is None:
+        return top_candidates(tfidf_scores(docs, queries), k)
+    qids, places, rows = small
+    body = docs.select("id", "corpus", tokens(F.col("text")).alias("tokens"))
+    sizes = {r["corpus"]: r["n"] for r in docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).collect()}
+    df = {(r["corpus"], r["term"]): r["df"] for r in _document_frequency(body, places, ["corpus"])}
+    where = {q: i for i, q in enumerate(qids)}
+    matrices = {c: np.zeros((len(places), len(qids))) for c in sizes}
+    for corpus, n in sizes.items():
+        for qid, term, qtf in rows:
+            if (corpus, term) in df:
+                matrices[corpus][places[term], where[qid]] = qtf * (np.log((n + 1.0) / (df[corpus, term] + 1.0)) + 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast((list(places), matrices))
+
+    def score(batch, positions, key):
+        terms, weights = shared.value
+        tf, _ = token_weights(batch, positions, pa.array(terms, pa.string()))
+        return (tf @ weights[key[0]]).T
+
+    return block_top_k(
+        body, qids, queries.schema["qid"].dataType, ["corpus"], k, score, lambda s: s > 0, _block_rows(places))
+
+
 def top_candidates(scores: DataFrame, k: int, keys: tuple[str, ...] = ("qid", "corpus")) -> DataFrame:
     """Best ``k`` chunks per query and corpus: score descending, then id."""
     return top_k(scores, list(keys), [F.col("score").desc(), F.col("id")], k)

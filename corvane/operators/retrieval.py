@@ -39,52 +39,62 @@ def plan_queries(queries: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- wiki leg
-def _bonus(folders: Column, path: Column) -> Column:
-    """Boost of a semantic page beside its base of 25."""
-    school = F.arrays_overlap(F.col("wanted"), folders)
-    return (
+# A page class is a small bit set: semantic, plain source, graduate page, school folders.
+SEMANTIC, PLAIN, GRADUATE, FIRST_FOLDER = 1, 2, 4, 8
+
+
+def _bits(tests) -> Column:
+    return sum((F.when(test, bit).otherwise(0) for test, bit in tests), F.lit(0)).cast("int")
+
+
+def page_class() -> Column:
+    """All a page's boost depends on beside its score."""
+    path = F.col("path")
+    semantic = (F.col("page_type") == "semantic") | (F.col("source_priority") == "semantic-wiki")
+    folders = [
+        (path.contains(f"wiki/pages/schools/{slug}"), FIRST_FOLDER << i) for i, (slug, _) in enumerate(intent.SCHOOL_PAGES)]
+    return _bits([
+        (semantic, SEMANTIC), (F.col("page_type") == "source", PLAIN), (path.endswith("/graduate.md"), GRADUATE), *folders])
+
+
+def _boosted(score: Column) -> Column:
+    kind = F.col("page_class")
+    school = kind.bitwiseAND(F.col("wanted")) != 0
+    bonus = (
         F.when(school, 60.0).otherwise(0.0)
-        + F.when(F.col("grad") & path.endswith("/graduate.md"), 20.0).otherwise(0.0)
+        + F.when(F.col("grad") & (kind.bitwiseAND(F.lit(GRADUATE)) != 0), 20.0).otherwise(0.0)
         + F.when(F.col("several") & school, 30.0).otherwise(0.0)
     )
+    return (
+        F.when(kind.bitwiseAND(F.lit(SEMANTIC)) != 0, score * 4.0 + 25.0 + bonus)
+        .when(kind.bitwiseAND(F.lit(PLAIN)) != 0, score * 0.85).otherwise(score)
+    )
 
 
-def boost_semantic(scores: DataFrame, wiki: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def boost_semantic(best: DataFrame, wiki: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Best ``k`` wiki chunks per query after the page-type boost.
 
-    A semantic page scores ``4 * s + 25`` plus bonuses even without a hit; a scored
-    ``source`` page is damped. Pages without a hit score by school folder and page
-    name alone, so of each such class only the first ``2k`` ids can reach a top ``k``:
-    either ``k`` scored pages of the class beat them all, or at least ``k`` of those ids
-    are unscored.
+    ``best`` are the best ``k`` BM25 rows of each query and ``page_class``. A semantic page scores ``4 * s + 25`` plus bonuses even
+    without a hit; a scored ``source`` page is damped. Within one class the boost keeps
+    the order of the scores, so ``k`` rows of each class are enough. Pages without a hit
+    score by class alone: of each class only the first ``2k`` ids can reach a top ``k``,
+    as either ``k`` scored pages of the class beat them all, or at least ``k`` of those
+    ids are unscored.
     """
+    low = F.lower(X.text_or_empty(F.col("query")))
     wants = queries.select(
         "qid",
-        intent.wanted_schools(F.col("query")).alias("wanted"),
+        _bits([(X.contains_any(low, words), FIRST_FOLDER << i) for i, (_, words) in enumerate(intent.SCHOOL_PAGES)]).alias("wanted"),
         intent.wants_graduate(F.col("query")).alias("grad"),
         intent.wants_several_aspects(F.col("query")).alias("several"),
     )
-    semantic = (F.col("page_type") == "semantic") | (F.col("source_priority") == "semantic-wiki")
-    pages = wiki.select(
-        "id", "path", semantic.alias("semantic"), (F.col("page_type") == "source").alias("plain"),
-        F.transform(intent.school_folders(F.col("path")), lambda s: s).alias("folders"),
-    ).withColumn("folders", F.when(F.col("path").contains("wiki/pages/schools/"), F.col("folders")).otherwise(F.array().cast("array<string>")))
-    base = F.col("score") * 4.0 + 25.0 + _bonus(F.col("folders"), F.col("path"))
-    boosted = (
-        scores.join(pages, "id").join(wants, "qid")
-        .select("qid", "id", F.when(F.col("semantic"), base)
-                .when(F.col("plain"), F.col("score") * 0.85).otherwise(F.col("score")).alias("score"))
-    )
-    classes = pages.filter("semantic").withColumn("graduate", F.col("path").endswith("/graduate.md"))
-    unscored = top_k(classes, ["folders", "graduate"], [F.col("id")], 2 * k, "_r").select(
-        F.lit(1).alias("_one"), "id", "path", "folders"
-    )
-    quiet = (
-        wants.withColumn("_one", F.lit(1)).join(F.broadcast(unscored), "_one")
-        .select("qid", "id", (F.lit(25.0) + _bonus(F.col("folders"), F.col("path"))).alias("score"))
-    )
-    either = boosted.unionByName(quiet).groupBy("qid", "id").agg(F.max("score").alias("score"))
-    return top_k(either, ["qid"], [F.round("score", ranking.SCORE_DIGITS).desc(), F.col("id")], k)
+    hit = best.join(wants, "qid").select("qid", "id", _boosted(F.col("score")).alias("score"))
+    semantic = wiki.select("id", page_class().alias("page_class")).filter(F.col("page_class").bitwiseAND(F.lit(SEMANTIC)) != 0)
+    first = top_k(semantic, ["page_class"], [F.col("id")], 2 * k, "_r").select(F.lit(1).alias("_one"), "id", "page_class")
+    quiet = wants.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one").select(
+        "qid", "id", _boosted(F.lit(0.0)).alias("score"))
+    either = hit.unionByName(quiet).groupBy("qid", "id").agg(F.max("score").alias("score"))
+    return top_k(either, ["qid"], [F.col("score").desc(), F.col("id")], k)
 
 
 def raw_support(docs: DataFrame, wiki_hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -120,8 +130,8 @@ def lexical_leg(docs: DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES) ->
     ``(qid, id, pos, lexical, bm25, reason)`` with ``pos`` the place in the leg.
     """
     wiki = docs.filter("corpus = 'wiki'")
-    scores = ranking.bm25_scores(wiki, queries).select("qid", "id", "score")
-    ranked = through_table(boost_semantic(scores, wiki, queries, k), "wiki-hits")
+    best = ranking.bm25_top(wiki.withColumn("page_class", page_class()), queries, k, by=("page_class",))
+    ranked = through_table(boost_semantic(best, wiki, queries, k), "wiki-hits")
     support = raw_support(docs, ranked, queries, k)
     both = ranked.select("qid", "id", F.col("rank").alias("pos"), "score", F.lit("bm25_wiki_match").alias("reason")).unionByName(
         support.select("qid", "id", (F.col("rank") + k).alias("pos"), "score", F.lit("bm25_cited_raw_support").alias("reason"))
@@ -142,7 +152,7 @@ def vector_leg(docs: DataFrame, queries: DataFrame, embed, k: int = MAX_CANDIDAT
 
 def hybrid_leg(docs: DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:
     """TF-IDF candidates of the raw, then of the wiki corpus."""
-    best = ranking.top_candidates(ranking.tfidf_scores(docs, queries), k)
+    best = ranking.tfidf_top(docs, queries, k)
     return best.select(
         "qid", "id", (F.col("rank") + F.when(F.col("corpus") == "wiki", k).otherwise(0)).alias("pos"),
         F.col("score").alias("lexical"),
@@ -198,6 +208,8 @@ def candidates(
     fused = fuse(lexical_leg(docs, queries, k), vector_leg(docs, queries, embed, k), queries, k)
     fused = through_table(shaped(fused, "hybrid_fused"), "candidates")
     missed = queries.join(fused.select("qid").distinct(), "qid", "left_anti")
+    if missed.isEmpty():
+        return fused
     return fused.unionByName(shaped(hybrid_leg(docs, missed, k), "hybrid_fallback"))
 
 

@@ -61,6 +61,24 @@ def test_bm25_against_a_loop(spark, docs, queries, small, monkeypatch):
         assert mine == pytest.approx(loop_bm25(query), abs=1e-8)
 
 
+def test_block_scores_equal_the_full_scores(spark, docs, queries, monkeypatch):
+    from corvane.operators import blocks
+
+    many = docs.crossJoin(spark.range(30).withColumnRenamed("id", "n")).withColumn("id", F.concat_ws("-", "id", "n")).repartition(3).drop("n")
+    order = [F.col("score").desc(), F.col("id")]
+    monkeypatch.setattr(ranking, "BLOCK_CELLS", 200)  # several blocks in each task
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    full = relational.top_k(ranking.bm25_scores(many, queries).select("qid", "corpus", "id", "score"), ["qid", "corpus"], order, 7)
+    assert ranking.bm25_top(many, queries, 7, by=("corpus",)).exceptAll(full).isEmpty() and full.count() > 20
+    full = ranking.top_candidates(ranking.tfidf_scores(many, queries), 7)
+    block = ranking.tfidf_top(many, queries, 7)
+    assert block.exceptAll(full).isEmpty() and full.exceptAll(block).isEmpty()
+    monkeypatch.setattr(ranking, "is_small", lambda df: False)
+    assert ranking.bm25_top(many, queries, 7).count() == ranking.bm25_top(many, queries, 7, by=("corpus",)).filter("rank <= 7").select("qid").distinct().count() * 7
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert blocks.DIGITS == ranking.SCORE_DIGITS
+
+
 def test_tfidf_counts_repeats_within_corpus(docs, queries):
     got = {(r["qid"], r["id"]): r["score"] for r in ranking.tfidf_scores(docs, queries).collect()}
     idf = lambda n, df: math.log((n + 1) / (df + 1)) + 1
@@ -119,6 +137,7 @@ def test_semantic_boost_reaches_unscored_pages(spark):
     wiki = spark.createDataFrame(rows, "id string, path string, page_type string, source_priority string")
     queries = spark.createDataFrame([(1, "mba tuition and application"), (2, "plain words")], "qid int, query string")
     scores = spark.createDataFrame([(1, "w0", 2.0), (1, "w9", 3.0), (2, "w10", 1.0)], "qid int, id string, score double")
+    scores = scores.join(wiki.select("id", retrieval.page_class().alias("page_class")), "id")
     got = retrieval.boost_semantic(scores, wiki, queries, 5).collect()
     for qid, wanted, several in ((1, True, True), (2, False, False)):
         base = {r[1]: r[2] for r in [(1, "w0", 2.0), (1, "w9", 3.0), (2, "w10", 1.0)] if r[0] == qid}
