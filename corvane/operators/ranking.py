@@ -166,12 +166,21 @@ def _small_terms(queries: DataFrame, tokens_of) -> tuple[list, dict, list[tuple]
     return qids, places, [(r["qid"], r["term"], r["qtf"]) for r in rows]
 
 
-def _document_frequency(rows: DataFrame, places: dict, keys: list[str]) -> list:
-    """Chunks holding each vocabulary term; the vocabulary is bounded by the caller."""
+def _corpus_stats(rows: DataFrame, places: dict, keys: list[str]) -> tuple[dict, dict]:
+    """``(totals, df)`` of the token rows in one pass over their texts.
+
+    ``totals[keys]`` is ``(chunks, chunks with tokens, tokens)``; ``df[keys + (term,)]`` counts
+    the chunks holding a vocabulary term. The totals ride along as the empty term. The
+    vocabulary is bounded by the caller, and so is what is collected here.
+    """
     spark = rows.sparkSession
-    vocabulary = spark.createDataFrame(pa.table({"term": pa.array(list(places), pa.string())}))
-    per_chunk = rows.select(*keys, F.explode(F.array_distinct("tokens")).alias("term"))
-    return per_chunk.join(F.broadcast(vocabulary), "term").groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df")).collect()
+    vocabulary = spark.createDataFrame(pa.table({"term": pa.array(["", *places], pa.string())}))
+    with_total = F.concat(F.array_distinct("tokens"), F.array(F.lit("")))
+    per_chunk = rows.select(*keys, F.explode(with_total).alias("term"), F.size("tokens").alias("n"))
+    found = per_chunk.join(F.broadcast(vocabulary), "term").groupBy(*keys, "term").agg(
+        F.count(F.lit(1)).alias("df"), F.count_if(F.col("n") > 0).alias("filled"), F.sum("n").alias("n")).collect()
+    totals = {tuple(r[k] for k in keys): (r["df"], r["filled"], r["n"]) for r in found if r["term"] == ""}
+    return totals, {(*(r[k] for k in keys), r["term"]): r["df"] for r in found if r["term"]}
 
 
 def bm25_top(
@@ -185,15 +194,14 @@ def bm25_top(
         return top_k(bm25_scores(docs, queries, k1, b, carry).select("qid", *by, "id", "score"), ["qid", *by], order, k)
     qids, places, rows = small
     body = docs.select("id", *by, content_tokens(F.concat_ws("\n", "title", "text")).alias("tokens"))
-    size = F.size("tokens")
-    n_docs, total = body.agg(F.count_if(size > 0), F.sum(size)).first()
+    totals, df = _corpus_stats(body, places, [])
+    _, n_docs, total = totals.get((), (0, 0, 0))
     matrix = np.zeros((len(places), len(qids)))
-    df = {r["term"]: r["df"] for r in _document_frequency(body, places, [])}
     where = {q: i for i, q in enumerate(qids)}
     for qid, term, _ in rows:
-        if term in df:
-            matrix[places[term], where[qid]] = np.log(1.0 + (n_docs - df[term] + 0.5) / (df[term] + 0.5))
-    mean = (total or 0) / n_docs if n_docs else 1.0
+        if (term,) in df:
+            matrix[places[term], where[qid]] = np.log(1.0 + (n_docs - df[term,] + 0.5) / (df[term,] + 0.5))
+    mean = total / n_docs if n_docs else 1.0
     shared = docs.sparkSession.sparkContext.broadcast((list(places), matrix))
 
     def score(batch, positions, key):
@@ -216,8 +224,8 @@ def tfidf_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return top_candidates(tfidf_scores(docs, queries), k)
     qids, places, rows = small
     body = docs.select("id", "corpus", tokens(F.col("text")).alias("tokens"))
-    sizes = {r["corpus"]: r["n"] for r in docs.groupBy("corpus").agg(F.count(F.lit(1)).alias("n")).collect()}
-    df = {(r["corpus"], r["term"]): r["df"] for r in _document_frequency(body, places, ["corpus"])}
+    totals, df = _corpus_stats(body, places, ["corpus"])
+    sizes = {corpus: n for (corpus,), (n, _, _) in totals.items()}
     where = {q: i for i, q in enumerate(qids)}
     matrices = {c: np.zeros((len(places), len(qids))) for c in sizes}
     for corpus, n in sizes.items():

@@ -358,10 +358,11 @@ def next_pages(
     )
     terms = queries.select("qid", F.explode(F.array_distinct(X.content_tokens(F.col("query")))).alias("term"))
     words = base.select(F.explode("words").alias("word")).distinct()
-    spans = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length("word")),
-        lambda i: F.transform(F.sequence(F.lit(1), F.length("word") - i + 1), lambda n: F.substring(F.col("word"), i, n)),
-    ))
+    # only spans as long as some query token; a text has few distinct token lengths
+    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]
+    sizes = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("word"))
+    spans = F.flatten(F.transform(sizes, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n))))
     token_words = words.select("word", F.explode(F.array_distinct(spans)).alias("term")).join(
         terms.select("term").distinct(), "term", "left_semi"
     )
