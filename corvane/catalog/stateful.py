@@ -30,7 +30,21 @@ def guard_events(spark, sf):
         "user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("second"), kind.alias("event"))
 
 
-@query("loop_guard")
+GUARD_SQL = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, floor(epoch(ts))::DOUBLE AS s, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'ask' END AS ev,
+   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+g AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, false AS ex, 0::DOUBLE AS opened, 0 AS retries, false AS waiting, '' AS outcome FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, n, event_id, ev <> 'succeeded' AND (ev = 'ask' OR ex), CASE WHEN outcome = 'started' THEN s ELSE opened END,
+    CASE WHEN ev = 'succeeded' THEN 0 WHEN ev = 'failed' THEN CASE WHEN ex THEN retries + 1 ELSE 0 END WHEN live THEN retries ELSE 0 END,
+    ev = 'ask' AND outcome <> 'ingest_retry_exhausted', outcome
+  FROM (SELECT *, CASE WHEN ev = 'succeeded' THEN 'cleared' WHEN ev = 'failed' THEN CASE WHEN ex THEN 'retry_counted' ELSE 'ignored' END
+      WHEN live AND waiting THEN 'pending' WHEN live AND retries >= 3 THEN 'ingest_retry_exhausted' ELSE 'started' END AS outcome
+    FROM (SELECT e.*, ex, opened, retries, waiting, ex AND s - opened <= 86400 AS live FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1)))
+SELECT user_id, event_id, outcome, retries FROM g WHERE n > 0"""
+
+
+@query("loop_guard", GUARD_SQL)
 def q_guard(spark, sf):
     return state.loop_guard(guard_events(spark, sf), "user_id", "event_id", "second", "event", ttl=86400)
 
@@ -113,7 +127,7 @@ def q_stream_index(spark, sf):
     return index.read().select("doc_id", "chunk_index", F.sha2("text", 256).alias("checksum"))
 
 
-@query("stream_loop_guard")
+@query("stream_loop_guard", GUARD_SQL)
 def q_stream_guard(spark, sf):
     schema = table(spark, sf, "events").schema
     e = jobs.read_stream(spark, sf, schema, "events.parquet")

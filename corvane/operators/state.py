@@ -1,8 +1,9 @@
 """Keyed state as batch folds: the web-search budget and the loop guard.
 
-A fold needs its key's events in order. Rows are partitioned by key, sorted within the
-partition and streamed through one function that carries the state, so memory does not
-grow with a key. Events are combined before the shuffle where the state allows it.
+A fold needs its key's events in order. Where the state is certain to be empty, a key's
+sequence is cut into segments that are folded apart, so a busy key is spread over tasks.
+Within a segment rows are sorted and streamed through one function that carries the
+state, so memory does not grow with it.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.operators import ordered
+
 BUDGET_LIMIT, BUDGET_WINDOW = 10, 3600
 GUARD_TTL, MAX_RETRIES = 3600, 3
 
 
 def _ordered(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    return rows.repartition(key).sortWithinPartitions(key, *order)
+    return rows.repartition(key, "segment").sortWithinPartitions(key, "segment", *order)
 
 
 def budget_windows(
@@ -30,7 +33,8 @@ def budget_windows(
     A window opens at the first request more than ``window`` seconds after the last
     one opened; at most ``limit`` requests in it are allowed. Requests of the same second
     share a fate, so they are counted per second before the shuffle: a key has at most
-    one row for each second of its life, whatever its number of requests.
+    one row for each second of its life, whatever its number of requests. A pause longer
+    than the window always opens a new one, so the seconds are cut there.
     """
     per_second = requests.groupBy(key, F.col(second).cast("long").alias("second")).agg(F.count(F.lit(1)).alias("n"))
     schema = T.StructType([
@@ -42,11 +46,11 @@ def budget_windows(
         current, start, total = None, 0, 0
         done: list[tuple] = []
         for batch in batches:
-            for k, at, n in zip(batch[key].tolist(), batch["second"].tolist(), batch["n"].tolist()):
-                if current is None or k != current[0] or at - start > window:
+            for k, part, at, n in zip(*(batch[c].tolist() for c in (key, "segment", "second", "n"))):
+                if current is None or (k, part) != current or at - start > window:
                     if current is not None:
                         done.append((current[0], start, total))
-                    current, start, total = (k,), at, 0
+                    current, start, total = (k, part), at, 0
                 total += n
             yield shaped(done)
             done = []
@@ -59,7 +63,9 @@ def budget_windows(
         out["denied"] = out["requests"] - out["allowed"]
         return out
 
-    return _ordered(per_second, key, "second").mapInPandas(fold, schema)
+    rows = ordered.with_previous(ordered.ranged(per_second, key, "second"), key, "second", "second", "before")
+    pause = F.col("second") - F.col("before") > window
+    return _ordered(ordered.with_running_count(rows, key, "second", pause, "segment"), key, "second").mapInPandas(fold, schema)
 
 
 class Guard:
@@ -94,7 +100,10 @@ def guard_step(state: Guard | None, event: str, at: float, ttl: int = GUARD_TTL)
 
 
 def loop_guard(events: DataFrame, key: str, seq: str, second: str, event: str, ttl: int = GUARD_TTL) -> DataFrame:
-    """Outcome of every event in order: ``(key, seq, outcome, retries)``."""
+    """Outcome of every event in order: ``(key, seq, outcome, retries)``.
+
+    A success forgets a question, so each question's events are cut after its successes.
+    """
     schema = T.StructType([
         T.StructField(key, events.schema[key].dataType), T.StructField(seq, events.schema[seq].dataType),
         T.StructField("outcome", T.StringType()), T.StructField("retries", T.IntegerType()),
@@ -104,15 +113,17 @@ def loop_guard(events: DataFrame, key: str, seq: str, second: str, event: str, t
         current, state = None, None
         for batch in batches:
             outcomes, retries = [], []
-            for k, at, what in zip(batch[key].tolist(), batch[second].tolist(), batch[event].tolist()):
-                if current is None or k != current[0]:
-                    current, state = (k,), None
+            for k, part, at, what in zip(*(batch[c].tolist() for c in (key, "segment", second, event))):
+                if current is None or (k, part) != current:
+                    current, state = (k, part), None
                 state, outcome = guard_step(state, what, at, ttl)
                 outcomes.append(outcome)
                 retries.append(state.retries if state else 0)
             yield pd.DataFrame({key: batch[key], seq: batch[seq], "outcome": outcomes, "retries": retries})
 
-    return _ordered(events.select(key, seq, second, event), key, seq).mapInPandas(fold, schema)
+    rows = ordered.with_previous(ordered.ranged(events.select(key, seq, second, event), key, seq), key, seq, event, "before")
+    rows = ordered.with_running_count(rows, key, seq, F.col("before") == "succeeded", "segment")
+    return _ordered(rows, key, seq).mapInPandas(fold, schema)
 
 
 # Ordered statuses of an answer; the first test that holds decides.

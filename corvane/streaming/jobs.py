@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corvane.operators import ordered
 from corvane.operators.relational import latest_per_key
 from corvane.operators.state import GUARD_TTL, Guard, guard_step
 from corvane.session import run_dir
@@ -116,11 +117,8 @@ class IndexTable:
 
 def changed_digests(snapshots: DataFrame, key: str, seq: str) -> DataFrame:
     """Snapshots ``(key, seq, digest)`` that differ from the one before."""
-    from pyspark.sql.window import Window
-
-    before = F.lag("digest").over(Window.partitionBy(key).orderBy(seq))
-    return snapshots.withColumn("_before", before).filter(
-        F.col("_before").isNull() | (F.col("_before") != F.col("digest"))).drop("_before")
+    rows = ordered.with_previous(ordered.ranged(snapshots, key, seq), key, seq, "digest", "_before_digest")
+    return rows.filter(F.col("_before_digest").isNull() | (F.col("_before_digest") != F.col("digest"))).drop("_before_digest", "_range")
 
 
 def guard_stream(events: DataFrame, key: str, seq: str, second: str, event: str, ttl: int = GUARD_TTL) -> DataFrame:
