@@ -245,7 +245,7 @@ evidence AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER
 
 # -------------------------------------------------------------------- the queries
 @query("wiki_bm25_boosted", f"""
-{CHAIN} SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM wiki_hits""")
+{CHAIN} SELECT qid, id, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score, rank::INTEGER AS rank FROM wiki_hits""")
 def q_boosted(spark, sf):
     docs = through_table(ranked_docs(spark, sf), "index").filter("corpus = 'wiki'")
     q = questions(spark, sf)
@@ -254,7 +254,7 @@ def q_boosted(spark, sf):
 
 
 @query("lexical_leg", f"""
-{CHAIN} SELECT qid, id, pos::INTEGER AS pos, round(lexical, 6) AS lexical, reason FROM placed WHERE leg = 0""")
+{CHAIN} SELECT qid, id, pos::INTEGER AS pos, round(lexical::DECIMAL(28, 11), 6)::DOUBLE AS lexical, reason FROM placed WHERE leg = 0""")
 def q_lexical(spark, sf):
     docs = through_table(ranked_docs(spark, sf), "index")
     leg = retrieval.lexical_leg(docs, questions(spark, sf))
@@ -262,7 +262,7 @@ def q_lexical(spark, sf):
 
 
 @query("vector_leg", f"""
-{CHAIN} SELECT qid, id, rank::INTEGER AS pos, round(score, 6) AS score FROM vec_hits""")
+{CHAIN} SELECT qid, id, rank::INTEGER AS pos, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score FROM vec_hits""")
 def q_vector(spark, sf):
     leg = retrieval.vector_leg(ranked_docs(spark, sf, True), questions(spark, sf), hashed_tokens_embedding(DIMS))
     return leg.select("qid", "id", "pos", F.round("retrieval_vector", 6).alias("score"))
@@ -271,7 +271,7 @@ def q_vector(spark, sf):
 @query("hybrid_leg", f"""
 WITH {S.INDEX}, {QUESTIONS}, {TFIDF},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY score DESC, id) AS rank FROM tfidf)
-SELECT qid, id, (rank + CASE WHEN corpus = 'wiki' THEN 50 ELSE 0 END)::INTEGER AS pos, round(score, 6) AS lexical FROM ranked WHERE rank <= 50""")
+SELECT qid, id, (rank + CASE WHEN corpus = 'wiki' THEN 50 ELSE 0 END)::INTEGER AS pos, round(score::DECIMAL(28, 11), 6)::DOUBLE AS lexical FROM ranked WHERE rank <= 50""")
 def q_hybrid(spark, sf):
     return retrieval.hybrid_leg(index_rows(spark, sf), questions(spark, sf)).select(
         "qid", "id", "pos", F.round("lexical", 6).alias("lexical"))
@@ -282,7 +282,7 @@ def _fused(spark, sf, docs):
 
 
 @query("fused_candidates", f"""
-{CHAIN} SELECT qid, id, pos::INTEGER AS pos, round(lexical, 6) AS lexical, round(retrieval_vector, 6) AS retrieval_vector, reason,
+{CHAIN} SELECT qid, id, pos::INTEGER AS pos, round(lexical::DECIMAL(28, 11), 6)::DOUBLE AS lexical, round(retrieval_vector::DECIMAL(28, 11), 6)::DOUBLE AS retrieval_vector, reason,
   'hybrid_fused' AS strategy FROM fused""")
 def q_fused(spark, sf):
     return _fused(spark, sf, built_index(spark, sf)).select(
@@ -374,7 +374,7 @@ def q_person(spark, sf):
 WITH p AS (SELECT q.vec_id AS qid, d.vec_id AS id, greatest(round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9), 0.0) AS score
   FROM embeddings q CROSS JOIN embeddings d),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM p WHERE score >= 0.05)
-SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
+SELECT qid, id, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def q_vector10(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     found = neighbours.nearest(v, v.select(F.col("id").alias("qid"), "vector"), 10, 0.05)
@@ -385,7 +385,7 @@ def q_vector10(spark, sf):
 WITH p AS (SELECT q.vec_id AS qid, d.label, d.vec_id AS id, greatest(round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 9), 0.0) AS score
   FROM embeddings q CROSS JOIN embeddings d),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS rank FROM p WHERE score >= 0.05)
-SELECT qid, label, id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
+SELECT qid, label, id, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3""")
 def q_vector_label(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
     found = neighbours.nearest(v, v.select(F.col("id").alias("qid"), "vector"), 3, 0.05, partition="label")

@@ -115,7 +115,7 @@ QUESTIONS = "questions AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 @query("bm25_top5", f"""
 WITH {S.INDEX}, {QUESTIONS}, {BM25.format(docs='idx')},
 ranked AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm25)
-SELECT qid, id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 5""")
+SELECT qid, id, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 5""")
 def q_bm25(spark, sf):
     top = ranking.bm25_top(index_rows(spark, sf), questions(spark, sf), 5)
     return top.select("qid", "id", F.round("score", 6).alias("score"), "rank")
@@ -136,7 +136,7 @@ tfidf AS (
 @query("tfidf_top5", f"""
 WITH {S.INDEX}, {QUESTIONS}, {TFIDF},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY score DESC, id) AS rank FROM tfidf)
-SELECT qid, corpus, id, round(score, 6) AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 5""")
+SELECT qid, corpus, id, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score, rank::INTEGER AS rank FROM ranked WHERE rank <= 5""")
 def q_tfidf(spark, sf):
     top = ranking.tfidf_top(index_rows(spark, sf), questions(spark, sf), 5)
     return top.select("qid", "corpus", "id", F.round("score", 6).alias("score"), "rank")
@@ -144,7 +144,7 @@ def q_tfidf(spark, sf):
 
 @query("bm25_all_scores", f"""
 WITH {S.INDEX}, {QUESTIONS}, {BM25.format(docs='idx')}
-SELECT qid, id, round(score::DECIMAL(24, 9), 6)::DOUBLE AS score FROM bm25""")
+SELECT qid, id, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score FROM bm25""")
 def q_bm25_all(spark, sf):
     return ranking.bm25_scores(index_rows(spark, sf), questions(spark, sf)).select(
         "qid", "id", F.round("score", 6).alias("score"))
@@ -152,7 +152,7 @@ def q_bm25_all(spark, sf):
 
 @query("tfidf_all_scores", f"""
 WITH {S.INDEX}, {QUESTIONS}, {TFIDF}
-SELECT qid, corpus, id, round(score::DECIMAL(24, 9), 6)::DOUBLE AS score FROM tfidf""")
+SELECT qid, corpus, id, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score FROM tfidf""")
 def q_tfidf_all(spark, sf):
     return ranking.tfidf_scores(index_rows(spark, sf), questions(spark, sf)).select(
         "qid", "corpus", "id", F.round("score", 6).alias("score"))
