@@ -209,7 +209,7 @@ def normalize_scraped(manifest: DataFrame, now: str, run_root: str) -> DataFrame
         first_heading(F.col("markdown"), tail).alias("title"), F.col("url").alias("original_url"),
         F.col("markdown_path").alias("original_path"),
         F.when(bad, "").otherwise(F.concat(F.lit("raw_sources/web/"), name, F.lit(".md"))).alias("markdown_path"),
-        "checksum", F.lit("scrape_worker.markdown").alias("parser"),
+        "checksum", F.lit("web.markdown").alias("parser"),
         F.when(bad, "failed").when(review, "needs-review").otherwise("ready").alias("status"),
         F.when(bad | review, F.array_join("reasons", ", ")).otherwise("").alias("error_reason"),
         F.create_map(F.lit("run_root"), F.lit(run_root), F.lit("quality_action"), F.col("action")).alias("provenance"),
