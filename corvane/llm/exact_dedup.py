@@ -91,12 +91,14 @@ def exact_duplicates(docs: DataFrame, carry: list[str] | None = None, digest_cha
     own = [F.col(f"_own.{c}").alias(c) for c in names]
     state = state_of(arrivals(docs, digest_chars), fresh_path(docs.sparkSession, "dedup-state"))
     sha = F.sha2(normalised(F.col("text")), 256)
-    rows = docs.select(F.struct(*names).alias("_own"), "doc_id", "text", sha.alias("_sha"), sha.substr(1, digest_chars).alias("digest"))
+    beside = [] if "text" in names else ["text"]
+    rows = docs.select(F.struct(*names).alias("_own"), "doc_id", *beside, sha.alias("_sha"), sha.substr(1, digest_chars).alias("digest"))
+    text = F.coalesce(F.col("text" if beside else "_own.text"), F.lit(""))
     met = rows.join(state, "digest")
     # the text goes no further than the rows that have a partner
     checked = keep(met.select(
-        "_own", "doc_id", "_sha", "digest", "keep_id", "keep_length", "n", F.char_length(F.coalesce("text", F.lit(""))).alias("_length"),
-        F.when(F.col("n") > 1, normalised(F.col("text"))).alias("_norm"), F.monotonically_increasing_id().alias("_row")), "dedup-hits")
+        "_own", "doc_id", "_sha", "digest", "keep_id", "keep_length", "n", F.char_length(text).alias("_length"),
+        F.when(F.col("n") > 1, normalised(text)).alias("_norm"), F.monotonically_increasing_id().alias("_row")), "dedup-hits")
     hits = checked.filter(F.col("n") > 1)
     standing = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_length") == F.col("keep_length"))
     salts = F.ceil(F.col("n") / hot_rows).cast("int")
