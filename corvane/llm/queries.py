@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, context_tree, exact_dedup, language, mixing, simhash, url_filter
+from corvane.llm import chat, context_tree, exact_dedup, language, mixing, pieces, search, simhash, style_tree, url_filter
 from corvane.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,27 @@ def op8(spark, sf):
 def op10(spark, sf):
     """Scores of all documents; learned outside the fold ``crc32(doc_id) mod 7 = 2``."""
     return context_tree.context_tree_scores(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op1_style_tree")
+def op1(spark, sf):
+    """Main text of every page."""
+    return style_tree.main_texts(read(spark, sf, "pages", "page_id", "url", "html"), ["page_id", "url"])
+
+
+@query("op5_sentencepiece")
+def op5(spark, sf):
+    """Ids of every whole text and whether they decode to it."""
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    back = pieces.decode(pieces.encode(docs, ["doc_id", "text"]), ["doc_id", "text", "ids"])
+    return back.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n_ids"), F.hex(F.xxhash64("ids")).alias("ids_digest"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+@query("op9_bm25_top10")
+def op9(spark, sf):
+    """Whole texts whose id is divisible by 50 as queries, against all documents."""
+    docs = read(spark, sf, "documents", "doc_id", "text")
+    asked = docs.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(search.build_index(docs), asked)
