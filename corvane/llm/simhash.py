@@ -33,6 +33,7 @@ WORDS = 4
 DISTANCE = 4
 SEED = 42
 CELL_ROWS = 4096
+SMALL_CELL = 64
 # first segment, segments and radius of the bands; the radii plus one add up to over DISTANCE
 BANDS = ((0, 11, 1), (11, 11, 1), (22, 10, 0))
 _LOW = 0x5555555555555555
@@ -155,15 +156,18 @@ def _link_batches(rows: list[np.ndarray], distance: int) -> Iterator[pa.RecordBa
     starts = np.flatnonzero(fresh)
     sizes = np.diff(np.append(starts, n))
     left, right = [], []
-    small = sizes[group] <= 8
-    for step in range(1, 8):  # all pairs of cells of up to eight, by one comparison for each offset
-        at = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if step < n else np.zeros(0, int)
-        at = at[linked(bits[at], bits[at + step], distance)] if len(at) else at
+    small = sizes[group] <= SMALL_CELL
+    for step in range(1, min(SMALL_CELL, n)):  # all pairs of small cells, by one comparison for each offset
+        at = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
+        if not len(at):
+            break
+        at = at[linked(bits[at], bits[at + step], distance)]
         left.append(bits[at]), right.append(bits[at + step])
-    for g in np.flatnonzero(sizes > 8):
+    for g in np.flatnonzero(sizes > SMALL_CELL):
         pairs = forest(bits[starts[g] : starts[g] + sizes[g]], distance)
         left.append(np.array([p[0] for p in pairs], np.uint64)), right.append(np.array([p[1] for p in pairs], np.uint64))
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], names=["u", "v"])
+    if left:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], names=["u", "v"])
 
 
 def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
