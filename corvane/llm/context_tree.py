@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import in_fold, keep, text_bytes
 
-DEPTH = 6
-BLOCK_BYTES = 24_000_000
-CHUNK_BYTES = 4_000_000
+DEPTH = 5
+BLOCK_BYTES = 16_000_000
+CHUNK_BYTES = 1_000_000
 
 _LOG_HALF = math.log(0.5)
 _SMALL = np.array([math.lgamma(i / 2) for i in range(1, 129)])
@@ -160,43 +160,62 @@ def request_batch(block: int, rows: list[tuple]) -> pa.RecordBatch:
         pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["block", "bucket", "kind", "n", "keys", "counts"])
 
 
+class Nodes:
+    """Binary nodes of one context depth and bit, over the sorted grams of that depth."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bit: int) -> None:
+        byte = (keys & np.uint64(255)).astype(np.int64)
+        one = (byte >> (7 - bit)) & 1
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] >> np.uint64(8 - bit)) != (keys[:-1] >> np.uint64(8 - bit))
+        self.first = np.flatnonzero(fresh)
+        self.at = np.cumsum(fresh) - 1
+        self.total = np.add.reduceat(counts, self.first)
+        self.ones = np.add.reduceat(counts * one, self.first)
+        self.zeros = self.total - self.ones
+
+    def estimate(self, node: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """KT chance of the bit ``one`` at each ``node``."""
+        return (np.where(one, self.ones[node], self.zeros[node]) + 0.5) / (self.total[node] + 1.0)
+
+
 class Levels:
-    """Binary nodes of the contexts of one bucket, deepest first, over sorted grams."""
+    """Grams of one bucket by context depth, from ``depth`` up to ``top``."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int) -> None:
-        self.depth, self.codes, self.counts = depth, codes, counts
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int, top: int) -> None:
         self.byte = (codes & np.uint64(255)).astype(np.int64)
-
-    def nodes(self, depth: int, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(node of each gram, zeros, ones, first gram) for contexts of ``depth`` bytes before this bit."""
-        context = self.codes >> np.uint64(8 * (self.depth - depth + 1))
-        prefix = (np.uint64(1) << np.uint64(bit)) | (self.byte >> (8 - bit)).astype(np.uint64)
-        _, first, at = np.unique((context << np.uint64(8)) | prefix, return_index=True, return_inverse=True)
-        one = (self.byte >> (7 - bit)) & 1
-        ones = np.bincount(at, self.counts * one, len(first)).astype(np.int64)
-        zeros = np.bincount(at, self.counts, len(first)).astype(np.int64) - ones
-        return at, zeros, ones, first
-
-    def fold(self, bit: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """From the deepest context up to ``top``: (node of each gram, its log weight, seen, chance of each gram's bit)."""
-        one = (self.byte >> (7 - bit)) & 1
-        log_weight = chance = seen = at = None
-        for depth in range(self.depth, top - 1, -1):
-            below, below_weight, below_seen = at, log_weight, seen
-            at, zeros, ones, _ = self.nodes(depth, bit)
-            total = zeros + ones
-            estimate = (np.where(one == 1, ones[at], zeros[at]) + 0.5) / (total[at] + 1.0)
-            if below is None:
-                log_weight, chance = log_kt(zeros, ones), estimate
-            else:
-                # each child node once: the parent of its first gram
-                child_first = np.zeros(len(below_weight), np.int64)
-                child_first[below[::-1]] = np.arange(len(below))[::-1]
-                children = np.bincount(at[child_first], below_weight, len(total))
-                log_weight, own = mixed(zeros, ones, children)
-                chance = np.where(below_seen[below], own[at] * estimate + (1 - own[at]) * chance, estimate)
-            seen = total > 0
-        return at, log_weight, seen, chance
+        self.keys, self.counts, self.up = [codes], [counts], []
+        for _ in range(depth - top):
+            # the byte farthest back goes
+            shorter = ((self.keys[-1] >> np.uint64(16)) << np.uint64(8)) | (self.keys[-1] & np.uint64(255))
+            keys, above = np.unique(shorter, return_inverse=True)
+            self.counts.append(np.bincount(above, self.counts[-1], len(keys)).astype(np.int64))
+            self.keys.append(keys)
+            self.up.append(above)
+
+    def weigh(self, bit: int) -> tuple[list[Nodes], list[np.ndarray | None], np.ndarray]:
+        """Nodes from the deepest on, the weights of their own estimates, log weights at the top."""
+        nodes = [Nodes(k, c, bit) for k, c in zip(self.keys, self.counts)]
+        weight, own = log_kt(nodes[0].zeros, nodes[0].ones), [None]
+        for below, node, up in zip(nodes, nodes[1:], self.up):
+            children = np.bincount(node.at[up[below.first]], weight, len(node.total))
+            weight, share = mixed(node.zeros, node.ones, children)
+            own.append(share)
+        return nodes, own, weight
+
+    def chance(self, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each gram: chance of its bit seen from the top, and whether training saw the top node."""
+        nodes, own, _ = self.weigh(bit)
+        one = ((self.byte >> (7 - bit)) & 1).astype(bool)
+        at, index = nodes[0].at, None
+        chance, seen = nodes[0].estimate(at, one), nodes[0].total[at] > 0
+        for node, share, up in zip(nodes[1:], own[1:], self.up):
+            index = up if index is None else up[index]
+            at = node.at[index]
+            estimate = node.estimate(at, one)
+            chance = np.where(seen, share[at] * estimate + (1 - share[at]) * chance, estimate)
+            seen = node.total[at] > 0
+        return chance, seen
 
 
 def top_sums(depth: int):
@@ -209,19 +228,16 @@ def top_sums(depth: int):
         if grams:
             codes, total = summed([unpack(keys[i], n[i]) for i in grams], [unpack(counts[i], n[i]) for i in grams])
             known = total > 0
-            level = Levels(codes[known], total[known], depth)
+            top = min(2, depth)
+            level = Levels(codes[known], total[known], depth, top)
             for bit in range(8 if known.any() else 0):
-                at, weight, _, _ = level.fold(bit, min(2, depth))
-                first = np.zeros(len(weight), np.int64)
-                first[at[::-1]] = np.arange(len(at))[::-1]
-                before = (level.codes >> np.uint64(8 * depth)).astype(np.int64) if depth else np.zeros(len(at), np.int64)
-                node = before * 256 + ((1 << bit) | (level.byte >> (8 - bit)))
-                place, index = np.unique(node, return_inverse=True)
-                one = (level.byte >> (7 - bit)) & 1
-                ones = np.bincount(index, level.counts * one, len(place)).astype(np.int64)
-                zeros = np.bincount(index, level.counts, len(place)).astype(np.int64) - ones
-                below = np.bincount(index[first], weight, len(place))
-                rows += zip(place.tolist(), zeros.tolist(), ones.tolist(), below.tolist())
+                nodes, _, weight = level.weigh(bit)
+                node, keys_ = nodes[-1], level.keys[-1][nodes[-1].first]
+                prefix = (np.uint64(1) << np.uint64(bit)) | ((keys_ & np.uint64(255)) >> np.uint64(8 - bit))
+                place = ((keys_ >> np.uint64(8 * top)) << np.uint64(8) | prefix).astype(np.int64)
+                place, index = np.unique(place, return_inverse=True)
+                sums = [np.bincount(index, x, len(place)) for x in (node.zeros, node.ones, weight)]
+                rows += zip(place.tolist(), sums[0].astype(np.int64).tolist(), sums[1].astype(np.int64).tolist(), sums[2].tolist())
         total = Counter()
         for i, k in enumerate(kinds):
             if k == "w":
@@ -266,7 +282,7 @@ def answer_rows(depth: int, sent):
         if grams:
             asked = [unpack(keys[i], n[i]) for i in grams]
             codes, total = summed(asked, [unpack(counts[i], n[i]) for i in grams])
-            level, score = Levels(codes, total, depth), np.zeros(len(codes))
+            level, score = Levels(codes, total, depth, min(2, depth)), np.zeros(len(codes))
             before = (codes >> np.uint64(8 * depth)).astype(np.int64)
             for bit in range(8):
                 one = (level.byte >> (7 - bit)) & 1
@@ -275,8 +291,8 @@ def answer_rows(depth: int, sent):
                 near = top["zeros"][node] + top["ones"][node]
                 estimate = (np.where(one == 1, top["ones"][node], top["zeros"][node]) + 0.5) / (near + 1.0)
                 if depth > 1:
-                    at, _, seen, chance = level.fold(bit, 2)
-                    estimate = np.where(seen[at], top["own"][node] * estimate + (1 - top["own"][node]) * chance, estimate)
+                    chance, seen = level.chance(bit)
+                    estimate = np.where(seen, top["own"][node] * estimate + (1 - top["own"][node]) * chance, estimate)
                 far = top["zeros0"][prefix] + top["ones0"][prefix]
                 root = (np.where(one == 1, top["ones0"][prefix], top["zeros0"][prefix]) + 0.5) / (far + 1.0)
                 score += np.log10(np.where(near > 0, top["own0"][prefix] * root + (1 - top["own0"][prefix]) * estimate, root))
@@ -350,7 +366,7 @@ def context_tree_scores(docs: DataFrame, held_out: int = 7, depth: int = DEPTH,
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("_block"))
     asked = keep(
         dealt.select("_block", "text", (~F.col("held_out")).alias("_train")).groupBy("_block")
-        .applyInArrow(request_rows(depth, blocks), REQUEST).repartition(blocks, "bucket"), "ctw-requests")
+        .applyInArrow(request_rows(depth, blocks), REQUEST), "ctw-requests")
     sums = (
         asked.groupBy("bucket").applyInArrow(top_sums(depth), "node int, zeros bigint, ones bigint, below double")
         .groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")))
