@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import SPACE, fresh_path, keep
 
-HOT_ROWS = 5_000
+HOT_ROWS = 500
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -113,8 +113,9 @@ def exact_duplicates(docs: DataFrame, carry: list[str] | None = None, digest_cha
     alone = checked.filter(F.col("n") == 1).select(*result(F.col("keep_id"), F.lit(1).cast("bigint"), F.lit(True)))
     # texts that share only the digest: how many a state row counted wrongly, and groups of their own
     apart = judged.filter(~F.col("_same"))
-    lost = apart.groupBy("digest").agg(F.count(F.lit(1)).alias("_lost"))
-    hit = judged.filter("_same").join(lost, "digest", "left").select(
+    lost = apart.groupBy("digest").agg(F.count(F.lit(1)).alias("_lost"), F.max(salts).alias("_salts"))
+    lost = lost.select("digest", "_lost", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    hit = judged.filter("_same").join(lost, ["digest", "_salt"], "left").select(
         *result(F.col("keep_id"), F.col("n") - F.coalesce("_lost", F.lit(0)), F.col("_row") == F.col("keep_row")))
     first = F.min(F.struct((-F.col("_length")).alias("l"), F.col("doc_id").isNull().alias("x"), "doc_id", "_row"))
     best = apart.groupBy("digest", "_norm").agg(first.alias("_b"), F.count(F.lit(1)).alias("_size"))
