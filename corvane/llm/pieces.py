@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -95,43 +96,45 @@ class StreamingViterbi:
     def feed(self, text: str) -> list[int]:
         """Take in characters; positions whose pieces may reach past the end wait."""
         self.text += text
-        self._grow()
-        out: list[int] = []
-        while self.done <= len(self.text) - self.v.longest:
-            self._step()
-            if self.done >= self.check:
-                out += self._commit()
-        return out
+        more = len(self.text) + 1 - len(self.best)
+        self.best += [-math.inf] * more
+        self.back += [0] * more
+        return self._advance(len(self.text) - self.v.longest + 1)
 
     def finish(self) -> list[int]:
+        return self._advance(len(self.text)) + self._emit(len(self.text))
+
+    def _advance(self, end: int) -> list[int]:
+        """Enter the pieces of all positions before ``end``; commit what has converged on the way."""
         out: list[int] = []
-        while self.done < len(self.text):
-            self._step()
-            if self.done >= self.check:
+        while self.done < end:
+            stop = min(end, self.check)
+            self._enter(stop)
+            if stop < end or self.done >= self.check:
+                before = self.done
                 out += self._commit()
-        return out + self._emit(len(self.text))
-
-    def _grow(self) -> None:
-        more = len(self.text) + 1 - len(self.best)
-        self.best += [-math.inf] * more
-        self.back += [0] * more
+                end -= before - self.done
+        return out
 
-    def _step(self) -> None:
-        i = self.done
-        score, node, text = self.best[i], self.v.trie, self.text
-        one = False
-        for j in range(i, min(len(text), i + self.v.longest)):
-            node = node.get(text[j])
-            if node is None:
-                break
-            found = node.get("")
-            if found is not None:
-                one |= j == i
-                if score + found[1] > self.best[j + 1]:
-                    self.best[j + 1], self.back[j + 1] = score + found[1], i
-        if not one and score + self.v.unknown_score > self.best[i + 1]:
-            self.best[i + 1], self.back[i + 1] = score + self.v.unknown_score, i
-        self.done += 1
+    def _enter(self, stop: int) -> None:
+        trie, text, best, back, unknown = self.v.trie, self.text, self.best, self.back, self.v.unknown_score
+        for i in range(self.done, stop):
+            score, node, one = best[i], trie, False
+            j = i
+            for c in text[i : i + self.v.longest]:
+                if c not in node:
+                    break
+                node = node[c]
+                j += 1
+                if "" in node:
+                    total = score + node[""][1]
+                    if j == i + 1:
+                        one = True
+                    if total > best[j]:
+                        best[j], back[j] = total, i
+            if not one and score + unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = score + unknown, i
+        self.done = max(self.done, stop)
 
     def _commit(self) -> list[int]:
         """Commit up to the boundary that all open paths run through."""
@@ -170,24 +173,28 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def segment(self, text: str) -> bytes:
         found = self.known.get(text)
+        if found is not None:
+            return found
+        found = self.older.get(text)
         if found is None:
             viterbi = StreamingViterbi(self.v)
             ids: list[int] = []
             for at in range(0, len(text), 65536):
                 ids += viterbi.feed(text[at : at + 65536])
             ids += viterbi.finish()
-            found = np.array(ids, "<i4").tobytes()
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(text) <= 256:
-                self.known[text] = found
+            found = array("i", ids).tobytes()
+        if len(self.known) >= REMEMBERED:  # the generation before last is forgotten
+            self.known, self.older = {}, self.known
+        if len(text) <= 256:
+            self.known[text] = found
         return found
 
     def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids; a blank goes before the text, as the models were made."""
+        """32-bit ids; a blank goes before the text, as the models were made."""
         if not text:
             return b""
         # a literal word mark would come back as a blank: it is spelled in bytes
@@ -200,8 +207,7 @@ class Encoder:
             return b""
         if self.v.segments is None:
             return self.segment(text)
-        known = self.known
-        return b"".join([known.get(s) or self.segment(s) for s in self.v.segments.findall(text)])
+        return b"".join(map(self.segment, self.v.segments.findall(text)))
 
 
 def _encode(sent, names: list[str]):
