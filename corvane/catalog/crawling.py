@@ -202,11 +202,21 @@ def q_trusted(spark, sf):
     return crawl.trusted_domain(p, allow).select("page_id", "trust_reason")
 
 
+# every page's host, and for three of four pages an address made from its number
+_ADDRESS = """CASE page_id % 8 WHEN 0 THEN '10.' || (page_id % 256) || '.1.2' WHEN 1 THEN '8.8.' || (page_id % 200) || '.9' WHEN 2 THEN CAST(2130706433 + page_id AS {text})
+  WHEN 3 THEN '0x7f00000' || (page_id % 10) WHEN 4 THEN '172.' || (page_id % 40) || '.0.1' WHEN 5 THEN '0' || (page_id % 8) || '.1.1.1' ELSE NULL END"""
+
+
 @query("url_safety", f"""
-WITH {PARTS} SELECT page_id, CASE WHEN scheme <> 'https' THEN 'https_required' WHEN host = '' THEN 'missing_host'
-  WHEN host = 'localhost' OR ends_with(host, '.local') THEN 'blocked_host' ELSE 'ok' END AS safety FROM u""")
+WITH {PARTS}, a AS (SELECT page_id, scheme, host, {_ADDRESS.format(text='VARCHAR')} AS made FROM u),
+o AS (SELECT *, list_transform(string_split(made, '.'), lambda x: try_cast(x AS BIGINT)) AS n FROM a)
+SELECT page_id, CASE WHEN made IS NULL AND scheme <> 'https' THEN 'https_required' WHEN made IS NULL AND host = '' THEN 'missing_host'
+  WHEN made IS NULL THEN CASE WHEN host = 'localhost' OR ends_with(host, '.local') THEN 'blocked_host' ELSE 'ok' END
+  WHEN len(n) < 4 OR made LIKE '0%' THEN 'blocked_ip' WHEN n[1] IN (0, 10, 127) OR (n[1] = 172 AND n[2] BETWEEN 16 AND 31) THEN 'blocked_ip' ELSE 'ok' END AS safety FROM o""")
 def q_safety(spark, sf):
-    return pages(spark, sf).select("page_id", crawl.url_safety(F.col("url")).alias("safety"))
+    made = F.expr(_ADDRESS.format(text="STRING"))
+    url = F.coalesce(F.concat(F.lit("https://"), made, F.lit("/a")), F.col("url"))
+    return pages(spark, sf).select("page_id", crawl.url_safety(url).alias("safety"))
 
 
 @query("links_in_pages", """

@@ -116,19 +116,21 @@ _STATUS = "CASE run_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 T
 @query("rollups", f"""
 WITH {RUNS}, at_time AS (SELECT max(ts) - INTERVAL 5 MINUTE AS t FROM events),
 w AS (SELECT unnest(['30d', '60d', '90d', '365d', 'all_time']) AS "window", unnest([30, 60, 90, 365, NULL]) AS days),
-m AS (SELECT w."window", r.*, {_STATUS} AS status FROM runs r CROSS JOIN w CROSS JOIN at_time
-  WHERE days IS NULL OR epoch_us(completed_at - to_days((run_id * 3)::INT)) >= (floor(epoch(t))::BIGINT - days * 86400) * 1000000)
-SELECT "window", count(*) AS run_count, count(*) FILTER (status = 'completed') AS successful_run_count, count(*) FILTER (status = 'failed') AS failed_run_count,
-  count(*) FILTER (status = 'canceled') AS canceled_run_count, {_KNOWN('total_model_tokens', 'true')} AS total_tokens, {_KNOWN('llm_tokens', 'true')} AS llm_tokens,
-  {_KNOWN('embedding_tokens', 'true')} AS embedding_tokens, round(sum(cost), 6) AS total_cost, {_lattice('cost', 'cost_source', 'true')} AS total_cost_source,
-  sum(duration_ms)::BIGINT AS total_duration_ms, floor(sum(duration_ms) / count(*))::BIGINT AS average_duration_ms, sum(document_count)::BIGINT AS document_count,
-  sum(chunk_count)::BIGINT AS chunk_count FROM m GROUP BY 1""")
+r AS (SELECT *, 'site' || (run_id // 25) AS own_site, {_STATUS} AS status FROM runs),
+m AS (SELECT s.own_site AS the_site, w."window", r.* FROM (SELECT DISTINCT own_site FROM r) s CROSS JOIN w CROSS JOIN at_time LEFT JOIN r ON r.own_site = s.own_site
+  AND (days IS NULL OR epoch_us(completed_at - to_days((run_id * 3)::INT)) >= (floor(epoch(t))::BIGINT - days * 86400) * 1000000))
+SELECT the_site AS site_id, "window", count(run_id) AS run_count, count(*) FILTER (status = 'completed') AS successful_run_count, count(*) FILTER (status = 'failed') AS failed_run_count,
+  count(*) FILTER (status = 'canceled') AS canceled_run_count, {_KNOWN('total_model_tokens', 'run_id IS NOT NULL')} AS total_tokens, {_KNOWN('llm_tokens', 'run_id IS NOT NULL')} AS llm_tokens,
+  {_KNOWN('embedding_tokens', 'run_id IS NOT NULL')} AS embedding_tokens, round(sum(cost), 6) AS total_cost, {_lattice('cost', 'cost_source', 'run_id IS NOT NULL')} AS total_cost_source,
+  coalesce(sum(duration_ms), 0)::BIGINT AS total_duration_ms, coalesce(floor(sum(duration_ms) / nullif(count(run_id), 0)), 0)::BIGINT AS average_duration_ms,
+  coalesce(sum(document_count), 0)::BIGINT AS document_count, coalesce(sum(chunk_count), 0)::BIGINT AS chunk_count FROM m GROUP BY 1, 2""")
 def q_rollups(spark, sf):
     k = F.col("run_id") % 4
     runs = _summaries(spark, sf).withColumn(
         "status", F.when(k == 0, "completed").when(k == 1, "failed").when(k == 2, "canceled").otherwise("running"))
-    # the runs are dated back by their number, so that the windows differ
+    # the runs are dated back by their number, so that the windows differ and some sites have none in the near ones
     runs = runs.withColumn("started_at", F.col("completed_at") - F.make_dt_interval(days=(F.col("run_id") * 3).cast("int")))
+    runs = runs.withColumn("site_id", F.concat(F.lit("site"), F.floor(F.col("run_id") / 25).cast("string")))
     as_of = table(spark, sf, "events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 5 MINUTES")).alias("t")).first()["t"]
     out = metrics.rollups(runs, F.lit(as_of))
     return out.withColumn("total_cost", F.round("total_cost", 6)).drop("embedding_cost", "embedding_cost_source", "vector_count")

@@ -113,17 +113,24 @@ def q_stream_minutes(spark, sf):
 
 
 @query("stream_index_upkeep", f"""
-WITH {S.chunk_ctes('(SELECT doc_id, text FROM documents)')} SELECT doc_id, chunk_index::INTEGER AS chunk_index, sha256(text) AS checksum FROM chunks""")
+WITH last AS (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN substr(text, 1, length(text) // 2) ELSE text END AS text FROM documents WHERE doc_id % 11 <> 3),
+{S.chunk_ctes('last')} SELECT doc_id, chunk_index::INTEGER AS chunk_index, sha256(text) AS checksum FROM chunks""")
 def q_stream_index(spark, sf):
-    schema = table(spark, sf, "documents").schema
-    stream = jobs.read_stream(spark, sf, schema, "documents.parquet").select("doc_id", "text")
-    index = jobs.IndexTable(spark, run_dir(spark, "stream-index"), ["doc_id", "chunk_index"], "seq")
+    """Two runs: some documents come only with the second, which also shortens and removes others."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    landing, root = run_dir(spark, "landing"), run_dir(spark, "stream-index")
+    index = jobs.IndexTable(spark, root, "doc_id bigint, chunk_index int, text string")
 
     def upkeep(df, batch_id):
-        rows = chunking.explode_chunks(df).withColumn("seq", F.lit(batch_id))
-        index.upsert(rows, batch_id)
+        chunks = chunking.explode_chunks(df.filter("text IS NOT NULL")).select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text")
+        index.replace(chunks, df, f"upkeep{batch_id}")
 
-    jobs.run_available(stream, upkeep)
+    k = F.col("doc_id")
+    late, shorter, gone = k % 7 == 1, k % 5 == 2, k % 11 == 3
+    cut = F.when(gone, None).when(shorter, F.expr("substring(text, 1, length(text) div 2)")).otherwise(F.col("text")).alias("text")
+    for change in (docs.filter(~late), docs.filter(late | shorter | gone).select("doc_id", cut)):
+        change.write.mode("append").parquet(landing)
+        jobs.run_available(jobs.read_stream(spark, landing, docs.schema), upkeep, checkpoint=f"{root}-checkpoint")
     return index.read().select("doc_id", "chunk_index", F.sha2("text", 256).alias("checksum"))
 
 
@@ -138,10 +145,10 @@ def q_stream_guard(spark, sf):
     return spark.read.parquet(path).drop("batch")
 
 
-@query("stream_event_tail", "SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error'")
+@query("stream_event_tail", "SELECT event_id, user_id, event_type FROM events")
 def q_stream_tail(spark, sf):
     schema = table(spark, sf, "events").schema
-    tail = jobs.read_stream(spark, sf, schema, "events.parquet", 1).filter("event_type <> 'error'").select("event_id", "user_id", "event_type")
+    tail = jobs.read_stream(spark, sf, schema, "events.parquet", 1).select("event_id", "user_id", "event_type")
     return spark.read.parquet(jobs.to_table(tail)).drop("batch")
 
 

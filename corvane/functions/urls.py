@@ -122,7 +122,7 @@ HARD_REJECT = (
 CONTEXT_REJECT = (("general_alumni_section", r"/alumni(?:/|$)"),)
 
 DATED_NEWS = (
-    r"/(?:news|stories|story|press-releases?|media|blog|magazine|coxtoday-magazine)/20\d{2}[-/]\d{2}[-/]\d{2}",
+    r"/(news|stories|story|press-releases?|media|blog|magazine|coxtoday-magazine)/20\d{2}[-/]\d{2}[-/]\d{2}",
     r"/20\d{2}-\d{2}-\d{2}-",
     r"/20\d{2}/\d{2}/\d{2}/",
 )
@@ -137,8 +137,8 @@ DATED_ARCHIVE = (
     r"/20\d{2}-ntcc-scholars",
     r"/20\d{2}-20\d{2}-faculty-publications",
     r"/20\d{2}-20\d{2}-passport-directory",
-    r"/coursedescriptions/(?:fall|spring)-20\d{2}",
-    r"/course-schedule/(?:fall|spring)-20\d{2}",
+    r"/coursedescriptions/(fall|spring)-20\d{2}",
+    r"/course-schedule/(fall|spring)-20\d{2}",
     r"alternategrade.*20\d{2}",
 )
 
@@ -146,8 +146,8 @@ MONTHS = (
     "january", "february", "march", "april", "may", "june", "july", "august", "september",
     "october", "november", "december",
 )
-CRIME_LOG_MONTH = r"/crime-log/.*/20\d{2}/(?:" + "|".join(MONTHS) + r")$"
-OLD_YEAR_PATH = r"/(?:tuition|factsheets|directory|schedule|spring|fall)[-_]?"
+CRIME_LOG_MONTH = rf"/crime-log/.*/20\d{{2}}/({'|'.join(MONTHS)})$"
+OLD_YEAR_PATH = r"/(tuition|factsheets|directory|schedule|spring|fall)[-_]?"
 FACULTY_PROFILE = r"/academics/(?:departments/[^/]+|programs/.+)/faculty/profiles?/"
 COMPACT_DATE = r"(?:^|/)(20\d{2})(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?:[-_/]|$)"
 

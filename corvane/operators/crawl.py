@@ -367,11 +367,13 @@ def url_safety(url: Column) -> Column:
         r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(?:1[6-9]|2\d|3[01])\.|^192\.0\.[02]\.|^198\.1[89]\."
         r"|^198\.51\.100\.|^203\.0\.113\.|^(?:22[4-9]|23\d|24\d|25[0-5])\."
     )
+    # a number, hexadecimal, octal or short form is an address in disguise
+    odd = h.rlike(r"(?i)^(?:0x[0-9a-f]*|\d+)(?:\.(?:0x[0-9a-f]*|\d+)){0,3}\.?$") & (~quad | h.rlike(r"(?:^|\.)0\d"))
     v6 = h.contains(":") & h.rlike(r"(?i)^(?:::1?$|f[cd]|fe[89ab]|ff|2001:db8)|^::ffff:")
     return (
         F.when(U.scheme(c) != "https", "https_required").when(h == "", "missing_host")
         .when((h == "localhost") | h.endswith(".local"), "blocked_host")
-        .when((quad & private) | v6, "blocked_ip").otherwise("ok")
+        .when((quad & private) | odd | v6, "blocked_ip").otherwise("ok")
     )
 
 

@@ -158,11 +158,12 @@ def token_breakdowns(events: DataFrame, keys: tuple[str, ...] = ("site_id", "run
     return breakdowns(rows, list(keys), dims, F.col("_tokens"), "tokens")
 
 
-def rollups(summaries: DataFrame, as_of: Column, windows=WINDOWS) -> DataFrame:
-    """Totals of the runs started within each look-back window.
+def rollups(summaries: DataFrame, as_of: Column, windows=WINDOWS, site: str = "site_id") -> DataFrame:
+    """Totals of each site's runs started within each look-back window.
 
     Windows overlap and have no upper end; a run without a start counts only in all
-    time. Each run row lists the windows it belongs to; windows without a run have no row.
+    time. Each run row lists the windows it belongs to. Every site has a row for every
+    window, with zeros where it has no run.
     """
     since = F.unix_seconds(as_of)
     entries = F.array(*[
@@ -170,20 +171,23 @@ def rollups(summaries: DataFrame, as_of: Column, windows=WINDOWS) -> DataFrame:
         for name, days in windows])
     start = F.coalesce("started_at", "completed_at")
     member = F.filter(entries, lambda w: w["cutoff"].isNull() | (F.unix_micros(start) >= w["cutoff"] * 1_000_000))
-    rows = summaries.withColumn("window", F.explode(F.transform(member, lambda w: w["window"])))
+    rows = summaries.withColumn("window", F.explode(F.transform(member, lambda w: w["window"]))).withColumn("_run", F.lit(True))
+    every = summaries.select(site).distinct().withColumn("window", F.explode(F.array(*[F.lit(name) for name, _ in windows]))).withColumn("_run", F.lit(False))
+    rows = rows.unionByName(every, allowMissingColumns=True)
+    run, runs = F.col("_run"), F.count_if(F.col("_run"))
     status = F.lower(F.coalesce("status", F.lit("")))
-    cost, source = _lattice(F.col("cost"), F.col("cost_source"), F.lit(True))
-    emb, emb_source = _lattice(F.col("embedding_cost"), F.col("embedding_cost_source"), F.lit(True))
+    cost, source = _lattice(F.col("cost"), F.col("cost_source"), run)
+    emb, emb_source = _lattice(F.col("embedding_cost"), F.col("embedding_cost_source"), run)
     long_sum = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return rows.groupBy("window").agg(
-        F.count(F.lit(1)).alias("run_count"), F.count_if(status.isin("complete", "completed")).alias("successful_run_count"),
+    return rows.groupBy(site, "window").agg(
+        runs.alias("run_count"), F.count_if(status.isin("complete", "completed")).alias("successful_run_count"),
         F.count_if(status == "failed").alias("failed_run_count"),
         F.count_if(status.isin("canceled", "cancelled")).alias("canceled_run_count"),
-        sum_known(F.col("total_model_tokens")).alias("total_tokens"), sum_known(F.col("llm_tokens")).alias("llm_tokens"),
-        sum_known(F.col("embedding_tokens")).alias("embedding_tokens"),
+        sum_known(F.col("total_model_tokens"), run).alias("total_tokens"), sum_known(F.col("llm_tokens"), run).alias("llm_tokens"),
+        sum_known(F.col("embedding_tokens"), run).alias("embedding_tokens"),
         cost.alias("total_cost"), source.alias("total_cost_source"), emb.alias("embedding_cost"), emb_source.alias("embedding_cost_source"),
         long_sum("duration_ms").alias("total_duration_ms"),
-        F.floor(long_sum("duration_ms") / F.count(F.lit(1))).cast("long").alias("average_duration_ms"),
+        F.when(runs > 0, F.floor(long_sum("duration_ms") / runs)).otherwise(0).cast("long").alias("average_duration_ms"),
         long_sum("document_count").alias("document_count"), long_sum("chunk_count").alias("chunk_count"),
         long_sum("vector_count").alias("vector_count"))
 

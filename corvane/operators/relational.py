@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HOT_ROWS = 1_000_000
-SALTS = 64
+SALTS = 64  # of a top-k round
+DEAL_BYTES = 64 * 1024 * 1024
 SMALL_BYTES = 4 * 1024 * 1024
 
 
@@ -22,12 +23,14 @@ def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
 
 
 def deal_out(df: DataFrame) -> DataFrame:
-    """Spread an input that has fewer splits than the cluster has cores.
+    """Spread a scan of at most ``DEAL_BYTES`` that has fewer splits than there are cores.
 
-    Only a small input has so few; a large one keeps its splits and is not shuffled.
+    A small file in one row group would be one task. Anything larger keeps its splits,
+    whatever the number of cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    few = is_small(df, DEAL_BYTES) and df._jdf.rdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -78,26 +81,26 @@ def lookup(
     weight: str,
     how: str = "left",
     hot_rows: int | None = None,
-    salts: int = SALTS,
     spread: list[str] | None = None,
 ) -> DataFrame:
     """Join ``fact`` to ``dim`` where a few keys may own a large share of ``fact``.
 
     ``dim`` carries in ``weight`` how many fact rows each key has. Keys at or over
-    ``hot_rows`` are salted: their fact rows are spread over ``salts`` partitions and
-    only their dim rows are repeated. There are at most ``rows / hot_rows`` such keys,
+    ``hot_rows`` are salted by their weight, one salt for each ``hot_rows`` of it: their fact
+    rows are spread so far and only their dim rows are repeated. There are at most ``rows / hot_rows`` such keys,
     which bounds the list of hot keys; the planner broadcasts it by its size.
     ``weight`` is dropped.
     """
     hot_rows = hot_rows or HOT_ROWS
-    hot = dim.filter(F.col(weight) >= hot_rows).select(*keys).distinct().withColumn("_hot", F.lit(True))
+    salts = F.ceil(F.col(weight) / hot_rows).cast("int")
+    hot = dim.filter(F.col(weight) >= hot_rows).groupBy(*keys).agg(F.max(salts).alias("_hot"))
     spread_by = spread or [c for c in fact.columns if c not in keys] or keys
     tagged = fact.join(hot, keys, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int"))
+        F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.col("_hot")).cast("int"))
         .otherwise(0),
     ).drop("_hot")
-    copies = F.when(F.col(weight) >= hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col(weight) >= hot_rows, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     spread_dim = dim.withColumn("_salt", F.explode(copies)).drop(weight)
     return tagged.join(spread_dim, [*keys, "_salt"], how).drop("_salt")
 
@@ -116,11 +119,6 @@ def seen_before(df: DataFrame, keys: list[str], pos: str, flag: str = "seen_befo
     )
 
 
-def count_map(df: DataFrame, keys: list[str], label: str, value: str = "n") -> DataFrame:
-    """Counts per label, one row per group and label."""
-    return df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias(value))
-
-
 def breakdowns(df: DataFrame, keys: list[str], dims: list[str], value: Column, out: str) -> DataFrame:
     """Independent group-bys over several columns in one pass.
 

@@ -338,7 +338,7 @@ TYPE_BONUS = ("semantic", "navigation", "concept", "entity", "workflow", "proces
 
 
 def next_pages(
-    pages: DataFrame, queries: DataFrame, shown: DataFrame, limit: int = 5, max_shown: int = MAX_EVIDENCE
+    pages: DataFrame, queries: DataFrame, shown: DataFrame, limit: int = 5
 ) -> DataFrame:
     """Pages to open next for each query, except those already shown.
 
@@ -346,8 +346,9 @@ def next_pages(
     A page scores one per distinct query token that is a substring of its words, plus
     its own base score. A token has only letters and digits, so it lies within one word:
     the match is an equi-join of tokens with the substrings of the distinct words, not a
-    comparison of all pairs. Pages without a hit rank by base score alone; at most
-    ``max_shown`` of them are excluded, so the best ``limit + max_shown`` by base suffice.
+    comparison of all pairs. Pages without a hit rank by base score alone; a query excludes
+    at most as many as it was shown, so with the most any was shown, the best ``limit`` and
+    so many by base suffice.
     """
     base = pages.select(
         "path", "title", "page_type",
@@ -372,7 +373,8 @@ def next_pages(
     schools = wanted.join(base.select("path", F.explode("folders").alias("folder")), "folder").select(
         "qid", "path", F.lit(8.0).alias("points")
     ).distinct()
-    quiet = base.orderBy(F.col("base").desc(), "title", "path").limit(limit + max_shown).select(F.lit(1).alias("_one"), "path")
+    most_shown = shown.distinct().groupBy("qid").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    quiet = base.orderBy(F.col("base").desc(), "title", "path").limit(limit + most_shown).select(F.lit(1).alias("_one"), "path")
     quiet = queries.select("qid", F.lit(1).alias("_one")).join(F.broadcast(quiet), "_one").select("qid", "path", F.lit(0.0).alias("points"))
     scored = (
         union_all([hits, schools, quiet]).groupBy("qid", "path").agg(F.sum("points").alias("points"))

@@ -40,11 +40,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only when that is unset
-    (local tests) a temporary folder is chosen and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local master, whose tasks run
+    on one machine, may leave it unset: a temporary folder is then chosen and remembered.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -55,14 +58,6 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def through_table(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back.
 

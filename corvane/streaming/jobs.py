@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.operators import ordered
-from corvane.operators.relational import latest_per_key
+from corvane.operators.relational import latest_per_key, union_all
 from corvane.operators.state import GUARD_TTL, Guard, guard_step
 from corvane.session import run_dir
 
@@ -38,9 +38,13 @@ def tail_json(spark: SparkSession, folder: str, schema: str, per_trigger: int =
     return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
-def run_available(stream: DataFrame, each_batch, mode: str = "append") -> None:
-    """Work off what is there through ``each_batch(df, batch_id)``, then stop."""
-    place = run_dir(stream.sparkSession, "stream-checkpoint")
+def run_available(stream: DataFrame, each_batch, mode: str = "append", checkpoint: str | None = None) -> None:
+    """Work off what is there through ``each_batch(df, batch_id)``, then stop.
+
+    With the same ``checkpoint`` a later run goes on where this one ended; without one it
+    starts from the beginning in a folder of its own.
+    """
+    place = checkpoint or run_dir(stream.sparkSession, "stream-checkpoint")
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", place)
         .trigger(availableNow=True).start()
@@ -48,20 +52,31 @@ def run_available(stream: DataFrame, each_batch, mode: str = "append") -> None:
     query.awaitTermination()
 
 
-def to_table(stream: DataFrame, mode: str = "append") -> str:
+def to_table(stream: DataFrame, mode: str = "append", table: str | None = None) -> str:
     """Write every batch below its own ``batch`` folder and return the table path.
 
-    A batch that is tried again overwrites its own folder, so nothing is doubled.
+    A batch that is tried again overwrites its own folder, so nothing is doubled. A named
+    ``table`` keeps its checkpoint beside it, so a later run adds what is new. A stream
+    without a batch leaves an empty table.
     """
-    table = run_dir(stream.sparkSession, "stream-table")
+    spark, schema = stream.sparkSession, stream.schema
+    named = table is not None
+    table = table or run_dir(spark, "stream-table")
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(os.path.join(table, f"batch={batch_id}"))
 
-    run_available(stream, write, mode)
+    run_available(stream, write, mode, f"{table}-checkpoint" if named else None)
+    if not _exists(spark, table):
+        spark.createDataFrame([], schema).write.parquet(os.path.join(table, "batch=-1"))
     return table
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Newest row of each key of a table written in update mode."""
     return latest_per_key(spark.read.parquet(path), keys, "batch").drop("batch")
@@ -79,40 +94,52 @@ def minute_counts_bounded(events: DataFrame, late: str = "10 minutes", ts: str =
 
 
 class IndexTable:
-    """Versioned table kept current by upserts; readers take the newest finished version.
+    """Log of index rows by document; the newest version of a document is what counts.
 
-    Each batch reads one version and writes the next; the pointer is the largest
-    version whose write was committed, so a lost job leaves the last version in place.
+    A batch writes one version with the rows of the documents it touches and a marker for
+    each of them, so a shortened document loses its last rows and a removed one all of them;
+    documents it does not touch are not written again. Versions are numbered on from what is
+    committed. The token of a batch tells a retry, which overwrites its own version.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], seq: str) -> None:
-        self.spark, self.root, self.keys, self.seq = spark, root, keys, seq
-
-    def _path(self, version: int) -> str:
-        return os.path.join(self.root, f"version={version}")
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "doc_id") -> None:
+        self.spark, self.root, self.schema, self.key = spark, root, schema, key
 
-    def versions(self) -> list[int]:
-        """Committed versions in order."""
+    def versions(self) -> list[tuple[int, str]]:
+        """Committed ``(version, token)`` in order."""
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
-        found = [s.getPath() for s in fs.listStatus(root)]
-        done = [p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(name.split("=")[1]) for name in done if name.startswith("version="))
-
-    def read(self) -> DataFrame | None:
-        versions = self.versions()
-        return self.spark.read.parquet(self._path(versions[-1])) if versions else None
-
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge a batch; a batch tried again replaces its own version."""
-        older = [v for v in self.versions() if v < batch_id]
-        rows = batch
-        if older:
-            rows = self.spark.read.parquet(self._path(older[-1])).unionByName(batch)
-        latest_per_key(rows, self.keys, self.seq).write.mode("overwrite").parquet(self._path(batch_id))
+        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
+        done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        parts = [p.getName().removeprefix("version=").split("-", 1) for p in done]
+        return sorted((int(number), token) for number, token in parts)
+
+    def _path(self, version: int, token: str) -> str:
+        return os.path.join(self.root, f"version={version}-{token}")
+
+    def read(self) -> DataFrame:
+        """Rows of every document's newest version."""
+        empty = self.spark.createDataFrame([], self.schema)
+        kept = f"_key {empty.schema[self.key].dataType.simpleString()}, _row struct<{self.schema}>"
+        logs = [self.spark.read.schema(kept).parquet(self._path(v, t)).withColumn("_version", F.lit(v)) for v, t in self.versions()]
+        if not logs:
+            return empty
+        log = union_all(logs)
+        newest = log.groupBy("_key").agg(F.max("_version").alias("_version"))
+        return log.join(newest, ["_key", "_version"]).filter("_row IS NOT NULL").select("_row.*")
+
+    def replace(self, rows: DataFrame, touched: DataFrame, token: str) -> None:
+        """Documents of ``touched (key)`` now have ``rows``, which may be none."""
+        done = self.versions()
+        known = [v for v, t in done if t == token]
+        version = known[0] if known else (done[-1][0] + 1 if done else 0)
+        columns = [f.name for f in self.spark.createDataFrame([], self.schema).schema.fields]
+        kept = rows.select(F.col(self.key).alias("_key"), F.struct(*columns).alias("_row"))
+        markers = touched.select(F.col(self.key).alias("_key")).distinct().withColumn("_row", F.lit(None).cast(kept.schema["_row"].dataType))
+        kept.unionByName(markers).write.mode("overwrite").parquet(self._path(version, token))
 
 
 def changed_digests(snapshots: DataFrame, key: str, seq: str) -> DataFrame:
