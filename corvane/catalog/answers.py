@@ -422,20 +422,20 @@ def q_next_pages(spark, sf):
 
 
 @query("snippets", rf"""
-WITH {S.CORPUS}, {QUESTIONS}, s AS (SELECT d.doc_id, {S.toks('q.query')} AS toks, {S.squash('d.text')} AS flat FROM corpus_docs d JOIN questions q ON q.qid = length(d.text) % 40),
+WITH {S.CORPUS}, {QUESTIONS}, s AS (SELECT d.doc_id, {S.toks('q.query')} AS toks, {S.squash('d.text')} AS flat FROM corpus_docs d JOIN questions q ON q.qid = length(d.text) % (SELECT count(*) FROM questions)),
 s2 AS (SELECT *, coalesce(list_min(list_filter(list_transform(toks, lambda t: instr(lower(flat), t) - 1), lambda p: p >= 0)), 0) AS hit FROM s),
 s3 AS (SELECT *, greatest(0, hit - 80) AS st FROM s2)
 SELECT doc_id, CASE WHEN length(flat) <= 320 THEN flat ELSE CASE WHEN st > 0 THEN '...' ELSE '' END || trim(substring(flat, st + 1, 320))
   || CASE WHEN st + 320 < length(flat) THEN '...' ELSE '' END END AS snippet FROM s3""")
 def q_snippets(spark, sf):
     q = questions(spark, sf).select("qid", X.tokens(F.col("query")).alias("tokens"))
-    docs = table(spark, sf, "documents", "doc_id", "text").withColumn("qid", (F.length("text") % 40).cast("long"))
+    docs = table(spark, sf, "documents", "doc_id", "text").withColumn("qid", (F.length("text") % q.count()).cast("long"))
     return docs.join(q, "qid").select("doc_id", X.snippet(F.col("text"), F.col("tokens")).alias("snippet"))
 
 
 @query("keyword_scores", rf"""
 WITH {S.CORPUS}, {QUESTIONS}, s AS (SELECT d.doc_id, {S.toks('q.query')} AS toks, lower(d.title) AS title_l, lower(d.title || chr(10) || d.text) AS hay_l
-  FROM corpus_docs d JOIN questions q ON q.qid = length(d.text) % 40)
+  FROM corpus_docs d JOIN questions q ON q.qid = length(d.text) % (SELECT count(*) FROM questions))
 SELECT doc_id, round(len(list_filter(list_distinct(toks), lambda t: contains(title_l, t))) * 0.4::DOUBLE
    + len(list_intersect(list_distinct(toks), string_split_regex(hay_l, '[^\pL\pN_]+'))) * 0.1::DOUBLE
    + CASE WHEN len(toks) > 0 AND contains(hay_l, array_to_string(toks, ' ')) THEN 0.8 ELSE 0 END, 6) AS score FROM s""")
@@ -443,6 +443,6 @@ def q_keyword(spark, sf):
     from corvane.catalog.corpus import corpus_docs
 
     q = questions(spark, sf).select("qid", X.tokens(F.col("query")).alias("tokens"))
-    docs = corpus_docs(spark, sf).withColumn("qid", (F.length("text") % 40).cast("long"))
+    docs = corpus_docs(spark, sf).withColumn("qid", (F.length("text") % q.count()).cast("long"))
     return docs.join(q, "qid").select(
         "doc_id", F.round(X.keyword_score(F.col("tokens"), F.col("title"), F.col("text")), 6).alias("score"))

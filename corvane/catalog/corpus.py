@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.catalog import sqltext as S
-from corvane.catalog.registry import query, table
+from corvane.catalog.registry import ORACLES, query, table
 from corvane.functions import text as X
 from corvane.operators import chunking, ranking
+from corvane.plans import lexical
+from corvane.session import run_dir
 
 
 def corpus_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,6 +144,25 @@ def q_tfidf(spark, sf):
     return top.select("qid", "corpus", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _stored_index(spark, sf):
+    root = run_dir(spark, "lexical-index")
+    lexical.write_postings(index_rows(spark, sf), root)
+    return root
+
+
+@query("index_bm25_top5", ORACLES["bm25_top5"])
+def q_index_bm25(spark, sf):
+    """Postings written and then asked: the answer reads no text."""
+    top = lexical.bm25_top(spark, _stored_index(spark, sf), questions(spark, sf), 5)
+    return top.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("index_tfidf_top5", ORACLES["tfidf_top5"])
+def q_index_tfidf(spark, sf):
+    top = lexical.tfidf_top(spark, _stored_index(spark, sf), questions(spark, sf), 5)
+    return top.select("qid", "corpus", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("bm25_all_scores", f"""
 WITH {S.INDEX}, {QUESTIONS}, {BM25.format(docs='idx')}
 SELECT qid, id, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score FROM bm25""")

@@ -229,11 +229,11 @@ def _wiki_files(spark, sf):
 
 @query("lint_orphans", f"""
 WITH {MERGE}, w AS (SELECT DISTINCT 'wiki/pages/' || source || '.md' AS path FROM documents)
-SELECT path FROM w WHERE path NOT IN (SELECT wiki_page_paths FROM merged WHERE wiki_status = 'integrated' AND status = 'ready' AND source_id LIKE 'raw_1%')""")
+SELECT path FROM w WHERE path NOT IN (SELECT wiki_page_paths FROM merged WHERE wiki_status = 'integrated' AND status = 'ready')""")
 def q_orphans(spark, sf):
     pages = table(spark, sf, "documents", "source").select(
         F.concat(F.lit("wiki/pages/"), "source", F.lit(".md")).alias("path")).distinct()
-    reg = _merged(spark, sf).filter("status = 'ready' AND source_id LIKE 'raw_1%'")
+    reg = _merged(spark, sf).filter("status = 'ready'")
     return lineage.orphan_pages(pages, reg)
 
 

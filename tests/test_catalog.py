@@ -4,12 +4,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from corvane.catalog import ORACLES, QUERIES
+from corvane.session import configure
 from tests.conftest import SF
 from tools.check import TABLES, rows_of
 
-# the long composites are checked by tools/check.py
-SKIP = {"rerank_scores", "fused_candidates", "confidence", "lexical_leg", "bm25_all_scores", "tfidf_all_scores", "postings", "term_stats"}
-NAMES = [n for n in entry.queries() if n in entry.oracle_sql() and n not in SKIP]
+NAMES = [n for n in QUERIES if n in ORACLES]
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +22,9 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](configure(spark), SF)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
-    cursor = duck.execute(entry.oracle_sql()[name])
+    cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert got == rows_of(columns, cursor.fetchall())

@@ -76,6 +76,10 @@ def test_url_safety(spark):
     rows = spark.createDataFrame([("https://10.0.0.1/",), ("https://8.8.8.8/",), ("https://localhost/",), ("https://[::1]/",), ("http://a.b/",)], "u string")
     got = [r[0] for r in rows.select(crawl.url_safety(F.col("u"))).collect()]
     assert got == ["blocked_ip", "ok", "blocked_host", "blocked_ip", "https_required"]
+    disguised = spark.createDataFrame([(f"https://{h}/",) for h in ("2130706433", "0x7f000001", "0177.0.0.1", "127.1", "0x7f.0.0.1", "8.8.8.010")], "u string")
+    assert {r[0] for r in disguised.select(crawl.url_safety(F.col("u"))).collect()} == {"blocked_ip"}
+    names = spark.createDataFrame([(f"https://{h}/",) for h in ("1a.example.org", "x.8", "10.example")], "u string")
+    assert {r[0] for r in names.select(crawl.url_safety(F.col("u"))).collect()} == {"ok"}
 
 
 def test_sitemaps(spark):

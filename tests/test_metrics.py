@@ -56,8 +56,12 @@ def test_rollups_of_five_runs(spark):
     events = [event(f"r{i}", timestamp=as_of - datetime.timedelta(days=age), total_tokens=tokens)
               for i, (age, tokens) in enumerate([(5, 10), (45, 45), (80, 75), (200, 200), (500, 400)])]
     summaries = metrics.run_summaries(spark.createDataFrame(events, SCHEMA), metrics.price_table(spark)).withColumn(
-        "status", F.when(F.col("run_id") == "r1", "failed").otherwise("completed"))
-    got = {r["window"]: r for r in metrics.rollups(summaries, F.lit(as_of)).collect()}
+        "status", F.when(F.col("run_id") == "r1", "failed").otherwise("completed")).withColumn("site_id", F.lit("s"))
+    old = summaries.filter("run_id = 'r4'").withColumn("site_id", F.lit("old"))
+    rows = metrics.rollups(summaries.unionByName(old), F.lit(as_of)).collect()
+    other = {r["window"]: (r["run_count"], r["total_tokens"], r["total_cost_source"], r["average_duration_ms"]) for r in rows if r["site_id"] == "old"}
+    assert len(other) == 5 and all(other[w] == (0, 0, "unknown", 0) for w in ("30d", "60d", "90d", "365d")) and other["all_time"][:2] == (1, 400)
+    got = {r["window"]: r for r in rows if r["site_id"] == "s"}
     assert {w: r["total_tokens"] for w, r in got.items()} == {"30d": 10, "60d": 55, "90d": 130, "365d": 330, "all_time": 730}
     assert got["60d"]["failed_run_count"] == 1 and got["all_time"]["successful_run_count"] == 4
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.text import STOP_WORDS
+from corvane.plans import lexical
 from corvane.operators import neighbours, ranking, relational, retrieval
 
 TEXTS = [
@@ -174,3 +175,33 @@ def test_large_k_takes_the_salted_round(spark):
     got = relational.top_k(rows, ["g"], [F.col("id")], 7).orderBy("rank").collect()
     spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
     assert [r["id"] for r in got] == list(range(7))
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_queries": 1, "shard_cells": 8}])
+def test_vectors_of_another_length_take_no_part(spark, limits):
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0]), (4, None), (5, []), (6, [1.0, 0.0, 0.0])], "id int, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [2.0]), (4, None), (5, [])], "qid int, vector array<double>")
+    got = {(r["qid"], r["id"], r["score"]) for r in neighbours.nearest(docs, queries, 5, 0.0, **limits).collect()}
+    assert got == {(1, 1, 1.0), (1, 2, 0.0), (2, 1, 1.0), (2, 2, 1.0)}
+    assert neighbours.nearest(docs, queries.limit(0), 5, **limits).collect() == []
+
+
+def test_next_pages_after_eight_shown(spark):
+    pages = spark.createDataFrame([(f"/p{i:02d}", f"T{i:02d}", "", [], [], float(i), "semantic") for i in range(30)],
+                                  "path string, title string, summary string, tags array<string>, entities array<string>, priority double, page_type string")
+    queries = spark.createDataFrame([(1, "nothing here")], "qid int, query string")
+    shown = spark.createDataFrame([(1, f"/p{i:02d}") for i in range(22, 30)], "qid int, path string")
+    assert [r["path"] for r in retrieval.next_pages(pages, queries, shown).orderBy("rank").collect()] == ["/p21", "/p20", "/p19", "/p18", "/p17"]
+
+
+def test_stored_postings_give_the_same_best(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", "raw" if i % 3 else "wiki", f"title {i % 5}", " ".join(["common"] * (i % 4) + [f"w{i % 7}", "Rare" if i == 5 else "x"])) for i in range(40)],
+                                 "id string, corpus string, title string, text string")
+    queries = spark.createDataFrame([(1, "common w3"), (2, "rare title"), (3, "absent"), (4, "")], "qid int, query string")
+    lexical.write_postings(docs, str(tmp_path / "index"))
+    rows = lambda df: sorted((r["qid"], r["id"], round(r["score"], 6), r["rank"]) for r in df.collect())
+    stored = lexical.bm25_top(spark, str(tmp_path / "index"), queries, 5)
+    assert rows(stored) == rows(ranking.bm25_top(docs, queries, 5))
+    assert rows(lexical.tfidf_top(spark, str(tmp_path / "index"), queries, 3)) == rows(ranking.tfidf_top(docs, queries, 3))
+    plan = stored._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(term" in plan and "text#" not in plan

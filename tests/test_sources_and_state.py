@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane import session
 from corvane.functions.html import extract_content
 from corvane.operators import documents, lineage, quality, registry, relational, state
 from corvane.sources import files
@@ -19,7 +20,7 @@ def test_lookup_with_a_hot_key(spark, hot_rows):
     fact = spark.range(900).select(F.when(F.col("id") < 600, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     dim = fact.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low")).filter("k % 7 <> 3")
     for how in ("left", "inner"):
-        got = relational.lookup(fact, dim, ["k"], "n", how, hot_rows=hot_rows, salts=8)
+        got = relational.lookup(fact, dim, ["k"], "n", how, hot_rows=hot_rows)
         want = fact.join(dim.drop("n"), ["k"], how)
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
@@ -220,14 +221,53 @@ def test_loop_guard_batch_and_stream_agree(spark, tmp_path):
     assert {(r["k"], r["n"]): r["outcome"] for r in done.collect()} == want
 
 
-def test_index_table_versions_and_retry(spark, tmp_path):
-    table = jobs.IndexTable(spark, str(tmp_path / "t"), ["k"], "seq")
-    assert table.read() is None
-    make = lambda *rows: spark.createDataFrame(list(rows), "k string, seq int, v string")
-    table.upsert(make(("a", 0, "x"), ("b", 0, "y")), 0)
-    table.upsert(make(("a", 1, "z")), 1)
-    table.upsert(make(("a", 1, "z")), 1)  # the batch is tried again
-    assert {r["k"]: r["v"] for r in table.read().collect()} == {"a": "z", "b": "y"} and table.versions() == [0, 1]
+def test_index_log_replaces_removes_and_retries(spark, tmp_path):
+    table = jobs.IndexTable(spark, str(tmp_path / "t"), "doc_id bigint, chunk int, text string")
+    assert table.read().collect() == []
+    make = lambda *rows: spark.createDataFrame(list(rows), "doc_id bigint, chunk int, text string")
+    state = lambda: sorted(tuple(r) for r in table.read().collect())
+    first = make((1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "x"))
+    table.replace(first, first, "b0")
+    table.replace(make((1, 1, "z")), make((1, 1, ""), (2, 1, "")), "b1")  # shortened and removed
+    assert state() == [(1, 1, "z")] and [v for v, _ in table.versions()] == [0, 1]
+    table.replace(make((3, 1, "n")), make((3, 1, "")), "b1")  # the batch is tried again
+    assert state() == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "x"), (3, 1, "n")] and len(table.versions()) == 2
+
+
+def test_a_later_run_reads_new_files_only(spark, tmp_path):
+    landing, seen = str(tmp_path / "in"), []
+    rows = spark.range(5).select(F.col("id"))
+    for part in (rows.filter("id < 2"), rows.filter("id >= 2")):
+        part.coalesce(1).write.mode("append").parquet(landing)
+        jobs.run_available(jobs.read_stream(spark, landing, rows.schema), lambda df, n: seen.append((n, df.count())), checkpoint=str(tmp_path / "c"))
+    assert seen == [(0, 2), (1, 3)]
+
+
+def test_empty_stream_leaves_a_table(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert spark.read.parquet(jobs.to_table(jobs.read_stream(spark, str(tmp_path / "none"), "id int"))).count() == 0
+
+
+def test_hot_keys_are_salted_by_weight(spark):
+    fact = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    dim = fact.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("v"))
+    got = relational.lookup(fact, dim, ["k"], "n", hot_rows=50)
+    assert got.count() == 1000 and got.filter("k = 'hot' AND v <> 899").count() == 0
+
+
+def test_shared_folder_must_be_named_off_one_machine(spark):
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
 
 
 def test_json_tail_skips_bad_lines(spark, tmp_path):

@@ -97,7 +97,7 @@ def test_frontmatter(spark):
 
 
 def test_exact_rounding(spark):
-    values = [k / n for n in (32, 160, 4000) for k in range(0, 300, 7)] + [2.675, 1.005, 65.445, -2.5, 0.0]
+    values = [k / n for n in (32, 160, 4000) for k in range(0, 300, 7)] + [2.675, 1.005, 65.445, -2.5, 0.0, 3000000.5, 2400000.125, 123456789.00005, -7e9 - 0.125, 1e15 + 0.5, 1e300, -1e18]
     rows = spark.createDataFrame([(v,) for v in values], "v double")
     got = rows.select("v", round_exact(F.col("v"), 2).alias("a"), round_exact(F.col("v"), 4).alias("b")).collect()
     assert all(r["a"] == round(r["v"], 2) and r["b"] == round(r["v"], 4) for r in got)
