@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,6 +28,8 @@ class BodyText(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[str] = []
+        self.open: Counter = Counter()  # open elements by tag
+        self.skipping = 0  # open elements whose content is skipped
         self.nodes: list[tuple[bool, str]] = []
         self.marks: list[tuple[bool, str]] = []
         self.links = [0, 0]
@@ -37,21 +40,21 @@ class BodyText(HTMLParser):
     def _flush(self) -> None:
         text = "".join(self.open_text).strip()
         self.open_text = []
-        if text and not SKIPPED.intersection(self.stack):
-            inside = "body" in self.stack
+        if text and not self.skipping:
+            inside = self.open["body"] > 0
             self.nodes.append((inside, text))
             self.marks.append((inside, " ".join(text.split())))
 
     def _mark(self, mark: str) -> None:
-        if not SKIPPED.intersection(self.stack):
-            self.marks.append(("body" in self.stack, mark))
+        if not self.skipping:
+            self.marks.append((self.open["body"] > 0, mark))
 
     def handle_starttag(self, tag, attrs):
         self._flush()
         if tag == "body":
             self.saw_body = True
-        if tag == "a" and not SKIPPED.intersection(self.stack):
-            self.links[1 if "body" in self.stack else 0] += 1
+        if tag == "a" and not self.skipping:
+            self.links[1 if self.open["body"] else 0] += 1
             self.href.append(dict(attrs).get("href") or "")
             self._mark("[")
         elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
@@ -64,6 +67,8 @@ class BodyText(HTMLParser):
             self._mark("\n")
         if tag not in VOID:
             self.stack.append(tag)
+            self.open[tag] += 1
+            self.skipping += tag in SKIPPED
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -72,11 +77,14 @@ class BodyText(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag == "a" and self.href and not SKIPPED.intersection(self.stack):
+        if tag == "a" and self.href and not self.skipping:
             self._mark(f"]({self.href.pop()})")
-        if tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
+        while self.open[tag]:
+            closed = self.stack.pop()
+            self.open[closed] -= 1
+            self.skipping -= closed in SKIPPED
+            if closed == tag:
+                break
         if tag in BLOCKS or (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"):
             self._mark("\n\n")
 
