@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from corvane.catalog import sqltext as S
 from corvane.catalog.corpus import BM25, QUESTIONS, TFIDF, index_rows, questions
-from corvane.catalog.registry import query, table
+from corvane.catalog.registry import ORACLES, query, table
 from corvane.functions import intent
 from corvane.functions import leadership as L
 from corvane.functions import text as X
 from corvane.functions.vectors import hashed_tokens_embedding
 from corvane.operators import confidence, neighbours, ranking, retrieval
-from corvane.session import through_table
+from corvane.plans import lexical
+from corvane.session import run_dir, through_table
 
 DIMS = 256
 FOLDERS = (
@@ -322,6 +323,17 @@ def q_evidence(spark, sf):
         "qid", "rank", "id", "path", "combined", "snippet", F.array_join("ranking_reasons", ",").alias("reasons"))
 
 
+@query("index_evidence_top5", ORACLES["evidence_top5"])
+def q_index_evidence(spark, sf):
+    """The same from stored postings: written once, then asked without reading the texts for candidates."""
+    docs, root = built_index(spark, sf), run_dir(spark, "lexical-index")
+    lexical.write_postings(docs, root)
+    asked, embed = planned(spark, sf), hashed_tokens_embedding(DIMS)
+    found = retrieval.candidates(docs, asked, embed, "auto", postings=lexical.StoredPostings(spark, root))
+    return retrieval.evidence(retrieval.rerank(found, docs, asked, embed)).select(
+        "qid", "rank", "id", "path", "combined", "snippet", F.array_join("ranking_reasons", ",").alias("reasons"))
+
+
 @query("confidence", f"""
 {CHAIN}, {RERANK}, {EVIDENCE},
 agg AS (SELECT qid, max(combined) AS best, max(combined) FILTER (rank = 1) AS a, max(combined) FILTER (rank = 2) AS b FROM evidence GROUP BY qid),

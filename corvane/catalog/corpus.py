@@ -147,19 +147,19 @@ def q_tfidf(spark, sf):
 def _stored_index(spark, sf):
     root = run_dir(spark, "lexical-index")
     lexical.write_postings(index_rows(spark, sf), root)
-    return root
+    return lexical.StoredPostings(spark, root)
 
 
 @query("index_bm25_top5", ORACLES["bm25_top5"])
 def q_index_bm25(spark, sf):
     """Postings written and then asked: the answer reads no text."""
-    top = lexical.bm25_top(spark, _stored_index(spark, sf), questions(spark, sf), 5)
+    top = _stored_index(spark, sf).bm25_top(questions(spark, sf), 5)
     return top.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("index_tfidf_top5", ORACLES["tfidf_top5"])
 def q_index_tfidf(spark, sf):
-    top = lexical.tfidf_top(spark, _stored_index(spark, sf), questions(spark, sf), 5)
+    top = _stored_index(spark, sf).tfidf_top(questions(spark, sf), 5)
     return top.select("qid", "corpus", "id", F.round("score", 6).alias("score"), "rank")
 
 

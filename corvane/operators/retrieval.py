@@ -124,13 +124,18 @@ def raw_support(docs: DataFrame, wiki_hits: DataFrame, queries: DataFrame, k: in
     return top_k(best, ["qid"], [F.col("score").desc(), F.col("id")], k)
 
 
-def lexical_leg(docs: DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:
+def lexical_leg(docs: DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES, postings=None) -> DataFrame:
     """BM25 wiki candidates, then the raw chunks they cite.
 
-    ``(qid, id, pos, lexical, bm25, reason)`` with ``pos`` the place in the leg.
+    ``(qid, id, pos, lexical, bm25, reason)`` with ``pos`` the place in the leg. With stored
+    ``postings`` the candidates are found there, without reading the texts.
     """
     wiki = docs.filter("corpus = 'wiki'")
-    best = ranking.bm25_top(wiki.withColumn("page_class", page_class()), queries, k, by=("page_class",))
+    classed = wiki.withColumn("page_class", page_class())
+    if postings is None:
+        best = ranking.bm25_top(classed, queries, k, by=("page_class",))
+    else:
+        best = postings.bm25_top(queries, k, "wiki", classed.select("id", "page_class"))
     ranked = through_table(boost_semantic(best, wiki, queries, k), "wiki-hits")
     support = raw_support(docs, ranked, queries, k)
     both = ranked.select("qid", "id", F.col("rank").alias("pos"), "score", F.lit("bm25_wiki_match").alias("reason")).unionByName(
@@ -150,9 +155,9 @@ def vector_leg(docs: DataFrame, queries: DataFrame, embed, k: int = MAX_CANDIDAT
     )
 
 
-def hybrid_leg(docs: DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES) -> DataFrame:
+def hybrid_leg(docs: DataFrame, queries: DataFrame, k: int = MAX_CANDIDATES, postings=None) -> DataFrame:
     """TF-IDF candidates of the raw, then of the wiki corpus."""
-    best = ranking.tfidf_top(docs, queries, k)
+    best = ranking.tfidf_top(docs, queries, k) if postings is None else postings.tfidf_top(queries, k)
     return best.select(
         "qid", "id", (F.col("rank") + F.when(F.col("corpus") == "wiki", k).otherwise(0)).alias("pos"),
         F.col("score").alias("lexical"),
@@ -181,7 +186,7 @@ def fuse(lexical: DataFrame, vector: DataFrame, queries: DataFrame, k: int = MAX
 
 
 def candidates(
-    docs: DataFrame, queries: DataFrame, embed, strategy: str = "auto", k: int = MAX_CANDIDATES
+    docs: DataFrame, queries: DataFrame, embed, strategy: str = "auto", k: int = MAX_CANDIDATES, postings=None
 ) -> DataFrame:
     """Candidates of each query under one retrieval strategy, with its name.
 
@@ -200,17 +205,17 @@ def candidates(
         return df.withColumn("strategy", F.lit(name)).select(*cols)
 
     if strategy in ("bm25", "wiki_bm25", "factual"):
-        return shaped(lexical_leg(docs, queries, k), "wiki_bm25")
+        return shaped(lexical_leg(docs, queries, k, postings), "wiki_bm25")
     if strategy in ("vector", "reasoning"):
         return shaped(vector_leg(docs, queries, embed, k), "vector")
     if strategy not in ("auto", "mcp_auto"):
-        return shaped(hybrid_leg(docs, queries, k), "hybrid")
-    fused = fuse(lexical_leg(docs, queries, k), vector_leg(docs, queries, embed, k), queries, k)
+        return shaped(hybrid_leg(docs, queries, k, postings), "hybrid")
+    fused = fuse(lexical_leg(docs, queries, k, postings), vector_leg(docs, queries, embed, k), queries, k)
     fused = through_table(shaped(fused, "hybrid_fused"), "candidates")
     missed = queries.join(fused.select("qid").distinct(), "qid", "left_anti")
     if missed.isEmpty():
         return fused
-    return fused.unionByName(shaped(hybrid_leg(docs, missed, k), "hybrid_fallback"))
+    return fused.unionByName(shaped(hybrid_leg(docs, missed, k, postings), "hybrid_fallback"))
 
 
 # ----------------------------------------------------------------------- rerank

@@ -200,8 +200,11 @@ def test_stored_postings_give_the_same_best(spark, tmp_path):
     queries = spark.createDataFrame([(1, "common w3"), (2, "rare title"), (3, "absent"), (4, "")], "qid int, query string")
     lexical.write_postings(docs, str(tmp_path / "index"))
     rows = lambda df: sorted((r["qid"], r["id"], round(r["score"], 6), r["rank"]) for r in df.collect())
-    stored = lexical.bm25_top(spark, str(tmp_path / "index"), queries, 5)
+    index = lexical.StoredPostings(spark, str(tmp_path / "index"))
+    stored = index.bm25_top(queries, 5)
     assert rows(stored) == rows(ranking.bm25_top(docs, queries, 5))
-    assert rows(lexical.tfidf_top(spark, str(tmp_path / "index"), queries, 3)) == rows(ranking.tfidf_top(docs, queries, 3))
+    assert rows(index.tfidf_top(queries, 3)) == rows(ranking.tfidf_top(docs, queries, 3))
+    wiki = docs.filter("corpus = 'wiki'")
+    assert rows(index.bm25_top(queries, 5, "wiki")) == rows(ranking.bm25_top(wiki, queries, 5))
     plan = stored._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(term" in plan and "text#" not in plan
