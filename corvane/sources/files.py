@@ -1,11 +1,10 @@
-"""Readers and writers for JSON, JSONL, markdown trees, CSV and workbooks.
+"""Readers and writers for JSON, JSONL, markdown trees and CSV.
 
 Readers never fail on a bad line: it is skipped and can be counted.
 """
 
 from __future__ import annotations
 
-import io
 import json
 import os
 from collections.abc import Iterator
@@ -119,35 +118,19 @@ def latest_report(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def read_csv_rows(spark: SparkSession, path) -> DataFrame:
-    """``(path, pos, cells)`` of CSV files: all text, ragged rows keep their own width."""
+    """``(path, pos, cells)`` of CSV files: all text, ragged rows keep their own width.
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import csv
-
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                reader = csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))
-                rows = [(name, i, cells) for i, cells in enumerate(reader)]
-                yield pd.DataFrame(rows, columns=["path", "pos", "cells"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "path string, pos long, cells array<string>")
-
-
-def read_workbook_rows(spark: SparkSession, path) -> DataFrame:
-    """``(path, sheet, pos, cells)`` of every sheet; needs the optional workbook reader."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                sheets = pd.read_excel(io.BytesIO(content), sheet_name=None)
-                for sheet, frame in sheets.items():
-                    rows = [(name, sheet, 0, [str(c) for c in frame.columns])]
-                    rows += [(name, sheet, i, [str(v) for v in row]) for i, row in enumerate(frame.fillna("").to_numpy().tolist(), 1)]
-                    yield pd.DataFrame(rows, columns=["path", "sheet", "pos", "cells"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "path string, sheet string, pos long, cells array<string>")
+    Files are split; ``pos`` orders the lines of a file by the split's start and the line's
+    place in it. Cells may be quoted, quotes doubled within; a line break ends a row even in
+    quotes.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"),
+        (F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.expr("8589934592BD") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).cast("decimal(38,0)").alias("pos"))
+    line = F.regexp_replace("value", "^\ufeff|\r$", "")
+    found = F.regexp_extract_all(line, F.lit(r'''(?:^|,)("(?:[^"]|"")*"|[^,]*)'''), F.lit(1))
+    plain = lambda c: F.when(c.rlike('^".*"$'), F.replace(F.regexp_extract(c, '^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(c)
+    return lines.select("path", "pos", F.transform(found, plain).alias("cells"))
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
