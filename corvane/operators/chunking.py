@@ -47,12 +47,12 @@ def explode_page_chunks(
     return sized.select(*keep, F.posexplode(pieces).alias(index, text))
 
 
-def pack_blocks(df: DataFrame, text: str = "text", limit: int = 20_000, index: str = "part_index") -> DataFrame:
+def pack_blocks(df: DataFrame, text: str = "text", limit: int = 20_000, index: str = "part_index", count: str | None = None) -> DataFrame:
     """Greedy packing of blank-line separated blocks into parts of ``limit`` characters.
 
     A block over the limit closes the open part and is cut hard. The fold runs over
     one text's own blocks inside the row; numbering starts at 1 after empty parts
-    are dropped.
+    are dropped. ``count`` names a column for the number of parts of the text.
     """
     cleaned = df.withColumn("_c", strip(F.col(text))).filter(F.col("_c") != "")
     blocks = F.filter(F.transform(F.split("_c", "\n{2,}"), strip), lambda b: b != "")
@@ -79,6 +79,7 @@ def pack_blocks(df: DataFrame, text: str = "text", limit: int = 20_000, index: s
     )
     parts = F.when(F.length("_c") <= limit, F.array(F.col("_c"))).otherwise(folded)
     keep = [c for c in df.columns if c != text]
-    return cleaned.select(
-        *keep, F.posexplode(F.filter(parts, lambda p: p != "")).alias("_i", text)
-    ).select(*keep, (F.col("_i") + 1).alias(index), text)
+    packed = cleaned.select(*keep, F.filter(parts, lambda p: p != "").alias("_parts"))
+    counted = [F.size("_parts").alias(count)] if count else []
+    return packed.select(*keep, *counted, F.posexplode("_parts").alias("_i", text)).select(
+        *keep, *([count] if count else []), (F.col("_i") + 1).alias(index), text)

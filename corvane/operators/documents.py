@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvane.functions import text as X
 from corvane.functions.numbers import round_exact
@@ -44,25 +43,28 @@ def is_table_start(header: Column, separator: Column) -> Column:
 def table_rows(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per markdown table: ``keys, table_no, row_count, markdown``.
 
-    A table is a header, a separator and the pipe rows after them. Runs of pipe lines are
-    found with a running count inside one page's lines; a run may hold several headers,
-    of which only those outside an earlier table start one.
+    A table is a header, a separator and the pipe rows after them. In a run of pipe lines
+    the first header opens the table, which takes the rest of the run. A page's lines are
+    folded inside its row.
     """
-    lines = pages.select(*keys, F.posexplode(F.transform(X.split_lines(F.col(text)), X.strip)).alias("pos", "line"))
-    page = Window.partitionBy(*keys).orderBy("pos")
-    lines = lines.withColumn("_next", F.lead("line").over(page)).withColumn("_prev", F.lag("line").over(page))
-    piped = F.col("line").startswith("|")
-    start = F.coalesce(is_table_start(F.col("line"), F.col("_next")), F.lit(False))
-    lines = lines.withColumn("_run", F.sum(F.when(piped, 0).otherwise(1)).over(page)).withColumn("_start", start)
-    # inside one run of pipe lines the first header opens the table, which then takes the rest
-    run = Window.partitionBy(*keys, "_run")
-    lines = lines.filter(piped).withColumn("_first", F.min(F.when(F.col("_start"), F.col("pos"))).over(run)).filter(
-        F.col("pos") >= F.col("_first"))
-    tables = lines.groupBy(*keys, "_first").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n").alias("markdown"),
-        (F.count(F.lit(1)) - 2).cast("int").alias("row_count"))
-    order = Window.partitionBy(*keys).orderBy("_first")
-    return tables.withColumn("table_no", F.row_number().over(order)).drop("_first")
+    lines = F.transform(X.split_lines(F.col(text)), X.strip)
+    following = F.concat(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0))), F.array(F.lit("")))
+    marked = F.zip_with("_lines", following, lambda line, after: F.struct(
+        line.alias("line"), line.startswith("|").alias("piped"), F.coalesce(is_table_start(line, after), F.lit(False)).alias("start")))
+    none = F.array().cast("array<string>")
+
+    def closed(acc: Column) -> Column:
+        return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+
+    def step(acc: Column, at: Column) -> Column:
+        taken = F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.array(at["line"])).alias("open"))
+        return F.when(~at["piped"], F.struct(closed(acc).alias("done"), none.alias("open"))).when(
+            at["start"] | (F.size(acc["open"]) > 0), taken).otherwise(acc)
+
+    zero = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("open"))
+    tables = pages.select(*keys, lines.alias("_lines")).select(*keys, F.aggregate(marked, zero, step, closed).alias("_tables"))
+    return tables.select(*keys, F.posexplode("_tables").alias("_i", "_t")).select(
+        *keys, F.array_join("_t", "\n").alias("markdown"), (F.size("_t") - 2).alias("row_count"), (F.col("_i") + 1).alias("table_no"))
 
 
 def table_id(page_number: Column, table_no: Column) -> Column:
@@ -107,10 +109,7 @@ def pdf_page_parts(pages: DataFrame, now: str) -> DataFrame:
 
     ``pages (pdf_source_id, source_path, original_url, page_number, text)``.
     """
-    parts = pack_blocks(pages)
-    per_page = pages.select("pdf_source_id", "page_number")
-    n = parts.groupBy("pdf_source_id", "page_number").agg(F.max("part_index").alias("part_count"))
-    rows = parts.join(n, [*per_page.columns]).withColumn(
+    rows = pack_blocks(pages, count="part_count").withColumn(
         "part_index", F.when(F.col("part_count") > 1, F.col("part_index")).otherwise(0))
     identity = X.first_filled(canonical(F.col("original_url")), F.col("source_path"), F.col("pdf_source_id"))
     label = F.format_string("#page=%04d", F.col("page_number").cast("int"))

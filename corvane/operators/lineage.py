@@ -114,15 +114,15 @@ def stale_checksums(registry: DataFrame, files: DataFrame) -> DataFrame:
 def review_items(queue: DataFrame) -> DataFrame:
     """Open check boxes of review queues ``(path, text)`` with the heading above.
 
-    The headings of one queue are found inside its row.
+    A line carries the last heading above it along; a queue, one row before, is as long as
+    its lines.
     """
     lines = queue.select("path", F.posexplode(X.split_lines(F.col("text"))).alias("pos", "line")).withColumn(
         "line", X.strip(F.col("line")))
-    heads = lines.filter(F.col("line").startswith("#")).select(
-        "path", F.col("pos").alias("head_pos"), X.strip(F.ltrim(F.col("line"), F.lit("#"))).alias("heading"))
-    per_queue = heads.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("head_pos", "heading"))).alias("heads"))
-    open_items = lines.filter(F.col("line").startswith("- [ ]")).join(per_queue, "path", "left")
-    above = F.filter("heads", lambda h: h["head_pos"] < F.col("pos"))
+    head = F.when(F.col("line").startswith("#"), X.strip(F.ltrim(F.col("line"), F.lit("#"))))
+    sofar = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.filter(F.col("line").startswith("#") | F.col("line").startswith("- [ ]"))
+    open_items = marked.withColumn("heading", F.last(head, ignorenulls=True).over(sofar)).filter(F.col("line").startswith("- [ ]"))
     body = X.strip(F.regexp_replace("line", r"^- \[ \]\s*", ""))
     named = X.strip(F.regexp_extract(body, r"\breason\s*=\s*(.+)$", 1))
     tail = X.strip(F.regexp_extract(body, r"^.*:(.*)$", 1))
@@ -132,7 +132,7 @@ def review_items(queue: DataFrame) -> DataFrame:
         "path", (F.col("pos") + 1).alias("line_number"),
         X.strip(F.regexp_extract(body, "`([^`]+)`", 1)).alias("source_id"), reason.alias("reason"),
         F.when(clash, "contradiction").otherwise("review").alias("type"),
-        F.coalesce(F.try_element_at(above, F.lit(-1))["heading"], F.lit("")).alias("heading"))
+        F.coalesce("heading", F.lit("")).alias("heading"))
 
 
 def contradictions(pages: DataFrame, queued: DataFrame) -> DataFrame:
