@@ -7,6 +7,8 @@ scores; titles and text are joined in at the end, for the kept candidates only.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,7 @@ from corvane.functions import intent, leadership
 from corvane.functions import text as X
 from corvane.functions.vectors import cosine
 from corvane.operators import neighbours, ranking
+from corvane.operators.blocks import BLOCK_CELLS, block_top_k
 from corvane.operators.relational import first_per_key, top_k, union_all
 from corvane.session import through_table
 
@@ -342,51 +345,80 @@ def evidence(reranked: DataFrame, limit: int = MAX_EVIDENCE, distinct_paths: boo
 TYPE_BONUS = ("semantic", "navigation", "concept", "entity", "workflow", "process")
 
 
-def next_pages(
-    pages: DataFrame, queries: DataFrame, shown: DataFrame, limit: int = 5
-) -> DataFrame:
+QUERY_PART = 2000  # queries scored together
+
+
+def next_pages(pages: DataFrame, queries: DataFrame, shown: DataFrame, limit: int = 5, query_part: int = QUERY_PART) -> DataFrame:
     """Pages to open next for each query, except those already shown.
 
     pages ``(path, title, summary, tags, entities, priority, page_type)``, shown ``(qid, path)``.
-    A page scores one per distinct query token that is a substring of its words, plus
-    its own base score. A token has only letters and digits, so it lies within one word:
-    the match is an equi-join of tokens with the substrings of the distinct words, not a
-    comparison of all pairs. Pages without a hit rank by base score alone; a query excludes
-    at most as many as it was shown, so with the most any was shown, the best ``limit`` and
-    so many by base suffice.
+    A page scores one per distinct query token that is a substring of its words, plus 8 for a
+    school the query names, plus its own base score. Queries are taken in parts of bounded
+    size. For a part the pages are scored where they are read, block by block, and each task
+    keeps its best rows of a query; only those are shuffled. A page's row is found by title
+    and path, which also order equal scores.
     """
     base = pages.select(
-        "path", "title", "page_type",
+        F.concat_ws("\x00", F.coalesce("title", F.lit("")), "path").alias("id"), "path", "title", "page_type",
         F.substring(X.first_filled(F.col("summary"), F.lit("Relevant linked/navigation page")), 1, 240).alias("why"),
         (F.coalesce(F.col("priority"), F.lit(0.0)) / 100.0 + F.when(F.col("page_type").isin(*TYPE_BONUS), 5.0).otherwise(0.0)).alias("base"),
         F.array_distinct(X.tokens(F.concat_ws(" ", "title", "summary", F.array_join("tags", " "), F.array_join("entities", " ")))).alias("words"),
         intent.school_folders(F.col("path")).alias("folders"),
     )
-    terms = queries.select("qid", F.explode(F.array_distinct(X.content_tokens(F.col("query")))).alias("term"))
-    words = base.select(F.explode("words").alias("word")).distinct()
-    # only spans as long as some query token; a text has few distinct token lengths
-    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()]
-    sizes = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length("word"))
-    spans = F.flatten(F.transform(sizes, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n))))
-    token_words = words.select("word", F.explode(F.array_distinct(spans)).alias("term")).join(
-        terms.select("term").distinct(), "term", "left_semi"
-    )
-    token_pages = token_words.join(base.select("path", F.explode("words").alias("word")), "word").select("term", "path").distinct()
-    hits = terms.join(token_pages, "term").groupBy("qid", "path").agg(F.count(F.lit(1)).cast("double").alias("points"))
-    wanted = queries.select("qid", F.explode(intent.wanted_schools(F.col("query"))).alias("folder"))
-    schools = wanted.join(base.select("path", F.explode("folders").alias("folder")), "folder").select(
-        "qid", "path", F.lit(8.0).alias("points")
-    ).distinct()
-    most_shown = shown.distinct().groupBy("qid").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    quiet = base.orderBy(F.col("base").desc(), "title", "path").limit(limit + most_shown).select(F.lit(1).alias("_one"), "path")
-    quiet = queries.select("qid", F.lit(1).alias("_one")).join(F.broadcast(quiet), "_one").select("qid", "path", F.lit(0.0).alias("points"))
-    scored = (
-        union_all([hits, schools, quiet]).groupBy("qid", "path").agg(F.sum("points").alias("points"))
-        .join(shown.select("qid", "path").distinct(), ["qid", "path"], "left_anti")
-        .join(base.select("path", "title", "page_type", "why", "base"), "path")
-        .withColumn("score", F.round(F.col("points") + F.col("base"), 9)).filter("score > 0")
-    )
-    return top_k(scored, ["qid"], [F.col("score").desc(), F.col("title"), F.col("path")], limit).select(
-        "qid", "rank", "path", "title", "page_type", "why", "score"
-    )
+    asked = queries.select(
+        "qid", F.array_distinct(X.content_tokens(F.col("query"))).alias("terms"), intent.wanted_schools(F.col("query")).alias("wanted"))
+    parts = max(1, -(-queries.count() // query_part))
+    asked = asked.withColumn("_part", F.pmod(F.xxhash64("qid"), F.lit(parts)))
+    seen = shown.join(queries.select("qid"), "qid", "left_semi").groupBy("qid").agg(F.collect_set("path").alias("shown"))
+    asked = asked.join(seen, "qid", "left")
+    found = [
+        block_top_k(
+            base.select("id", "path", "base", "words", "folders"), [r["qid"] for r in rows], queries.schema["qid"].dataType, [], limit,
+            _page_scores(rows, queries.sparkSession), lambda s: s > 0, max(16, BLOCK_CELLS // max(len(rows), 500)))
+        for rows in (asked.filter(F.col("_part") == i).orderBy("qid").collect() for i in range(parts))]
+    best = union_all(found)
+    return best.join(base.select("id", "path", "title", "page_type", "why"), "id").select(
+        "qid", "rank", "path", "title", "page_type", "why", "score")
+
+
+def _page_scores(rows: list, spark):
+    """Scores of page blocks for the queries ``rows (qid, terms, wanted, shown)``."""
+    terms = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["terms"]}))}
+    folders = {f: i for i, f in enumerate(sorted({f for r in rows for f in r["wanted"] or []}))}
+    by_term, by_folder = np.zeros((len(terms), len(rows)), np.float32), np.zeros((len(folders), len(rows)), np.float32)
+    hidden: dict[str, list[int]] = {}
+    for q, r in enumerate(rows):
+        by_term[[terms[t] for t in r["terms"]], q] = 1
+        by_folder[[folders[f] for f in r["wanted"] or []], q] = 1
+        for path in r["shown"] or []:
+            hidden.setdefault(path, []).append(q)
+    lengths = sorted({len(t) for t in terms})
+    shared = spark.sparkContext.broadcast((terms, lengths, folders, by_term, by_folder, hidden))
+    known: dict[str, list[int]] = {}
+
+    def inside(word: str) -> list[int]:
+        """Numbers of the query tokens that are substrings of a word."""
+        got = known.get(word)
+        if got is None:
+            terms_, lengths_ = shared.value[:2]
+            spans = {word[i : i + n] for n in lengths_ if n <= len(word) for i in range(len(word) - n + 1)}
+            if len(known) >= 200_000:
+                known.clear()
+            got = known[word] = [terms_[s] for s in spans if s in terms_]
+        return got
+
+    def score(batch, positions, key):
+        terms_, _, folders_, by_term_, by_folder_, hidden_ = shared.value
+        cut = batch.take(pa.array(positions))
+        has, of = np.zeros((len(positions), len(terms_)), np.float32), np.zeros((len(positions), len(folders_)), np.float32)
+        for i, (words, own) in enumerate(zip(cut.column("words").to_pylist(), cut.column("folders").to_pylist())):
+            for word in words or []:
+                has[i, inside(word)] = 1
+            of[i, [folders_[f] for f in own or [] if f in folders_]] = 1
+        points = has @ by_term_ + 8.0 * ((of @ by_folder_) > 0)
+        total = points.astype(np.float64) + cut.column("base").to_numpy(zero_copy_only=False)[:, None]
+        for i, path in enumerate(cut.column("path").to_pylist()):
+            total[i, hidden_.get(path, [])] = -np.inf
+        return total.T
+
+    return score

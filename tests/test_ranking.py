@@ -121,6 +121,10 @@ def test_next_pages_against_all_pairs(spark):
     queries = spark.createDataFrame(list(enumerate(asked)), "qid int, query string")
     shown = [(q, f"wiki/p{n}") for q in range(3) for n in (0, 4, 8, 12, 16)]
     got = retrieval.next_pages(pages, queries, spark.createDataFrame(shown, "qid int, path string")).collect()
+    parts = retrieval.next_pages(pages, queries, spark.createDataFrame(shown, "qid int, path string"), query_part=1).collect()
+    assert sorted(map(str, parts)) == sorted(map(str, got))
+    nobody = retrieval.next_pages(pages, queries.limit(0), spark.createDataFrame([], "qid int, path string"))
+    assert nobody.collect() == []
     for qid, query in enumerate(asked):
         scored = []
         for path, title, summary, tags, _, priority, kind in rows:
