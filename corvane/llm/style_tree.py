@@ -10,12 +10,16 @@ A node with styles has the entropy of their distribution, to the base of its num
 pages, as importance: what is laid out alike everywhere says little. A node with content
 has one less the mean of ``log_m(pages with the same content)``: what stands on every page
 says nothing, what stands on one page only says most. A node on one page has importance 1.
-A branch in which no node reaches ``THRESHOLD`` is cut from every page of the host.
+A branch in which no node reaches ``THRESHOLD`` is cut from every page of the host, inside
+``article`` and ``main`` as well.
+
+Pages of a host with the same content are one page of the tree, so copies do not erase each
+other. The content is the text of the ``article`` or ``main`` elements, else all text
+outside chrome.
 
 What a page says of itself counts before the statistics: elements that are chrome by tag or
-by a class or id word are cut, and inside ``article`` or ``main`` nothing is cut for being
-repeated, so that copies of a page do not erase each other. A page with such an element
-gives its text only from there.
+by a class or id word are cut, and a page with ``article`` or ``main`` gives its text only
+from there.
 
 Nodes meet by (host, path), counted map-side, never by host; no task holds a site.
 """
@@ -38,6 +42,7 @@ from corvane.llm.url_filter import host_and_path
 THRESHOLD = 0.3
 BROADCAST_NODES = 500_000
 FLUSH = 200_000
+PAGE = 2  # kind of the rows that stand for a page's content
 
 # Chrome by tag; words of a class or id that mark chrome; block elements.
 CHROME_TAGS = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "svg", "button", "select", "textarea", "dialog", "head", "menu"}
@@ -169,12 +174,20 @@ class Page:
         out = {(self.path[i], parent_path(i), 0, digest(" ".join(kin))) for i, kin in below.items() if not self.chrome[i]}
         return out | {(self.path[i], parent_path(i), 1, digest(t)) for i, t in self.own if not self.chrome[i]}
 
+    def has_main(self) -> bool:
+        return any(m and not c for m, c in zip(self.main, self.chrome))
+
+    def content(self) -> int:
+        """Digest of the text outside chrome, of the main elements if there are any."""
+        has_main = self.has_main()
+        return xxhash.xxh64_intdigest("\n".join(t for i, t in self.own if not self.chrome[i] and (self.main[i] or not has_main))) >> 1
+
     def main_text(self, noise: set[int]) -> str:
         """Blocks outside chrome and noise, from the main elements if there are any."""
-        has_main = any(m and not c for m, c in zip(self.main, self.chrome))
+        has_main = self.has_main()
         cut = [False] * len(self.parent)
         for i in range(1, len(self.parent)):
-            cut[i] = self.chrome[i] or cut[self.parent[i]] or (not self.main[i] and self.path[i] in noise)
+            cut[i] = self.chrome[i] or cut[self.parent[i]] or self.path[i] in noise
         kept = [t for i, t in self.own if not cut[i] and (self.main[i] or not has_main)]
         if not kept and noise:  # never leave a page with nothing for being like others
             kept = [t for i, t in self.own if not self.chrome[i] and (self.main[i] or not has_main)]
@@ -182,35 +195,42 @@ class Page:
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task's pages by (host, path, parent, kind, key)."""
-    counts: Counter = Counter()
+    """The (host, path, parent, kind, key, content) of a task's pages, and one of kind ``PAGE`` for each content."""
+    found: set = set()
     paths: dict = {}
 
     def rows() -> pa.RecordBatch:
-        keys = list(counts)
-        columns = [pa.array([k[i] for k in keys], pa.string() if i == 0 else pa.int64()) for i in range(5)]
-        batch = pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["host", "path", "parent", "kind", "key", "n"])
-        counts.clear()
+        keys = list(found)
+        columns = [pa.array([k[i] for k in keys], pa.string() if i == 0 else pa.int64()) for i in range(6)]
+        batch = pa.RecordBatch.from_arrays(columns, names=["host", "path", "parent", "kind", "key", "content"])
+        found.clear()
         return batch
 
     for batch in batches:
         for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             if text:
-                counts.update((host, *fact) for fact in Page(text, paths).facts())
-            if len(counts) >= FLUSH:
+                page = Page(text, paths)
+                content = page.content()
+                found.update((host, *fact, content) for fact in page.facts())
+                found.add((host, 0, -1, PAGE, 0, content))
+            if len(found) >= FLUSH:
                 yield rows()
             if len(paths) >= FLUSH:
                 paths.clear()
-    if counts:
+    if found:
         yield rows()
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
-    """``(host, path, parent, pages, importance)`` of the nodes of every host's tree; ``pages (host, html)``."""
-    counted = pages.mapInArrow(_facts, "host string, path bigint, parent bigint, kind bigint, key bigint, n bigint").groupBy("host", "path", "parent", "kind", "key").agg(F.sum("n").alias("n"))
-    sizes = pages.groupBy("host").agg(F.count("html").alias("pages"))
+    """``(host, path, parent, pages, importance)`` of the nodes of every host's tree; ``pages (host, html)``.
+
+    Pages of a host with the same content count once, in ``pages`` and everywhere.
+    """
+    facts = pages.mapInArrow(_facts, "host string, path bigint, parent bigint, kind bigint, key bigint, content bigint").distinct()
+    counted = keep(facts.groupBy("host", "path", "parent", "kind", "key").agg(F.count(F.lit(1)).alias("n")), "style-facts")
+    sizes = counted.filter(F.col("kind") == PAGE).select("host", F.col("n").alias("pages"))
     x = F.col("n")
-    sums = counted.groupBy("host", "path", "parent").agg(
+    sums = counted.filter(F.col("kind") != PAGE).groupBy("host", "path", "parent").agg(
         F.sum(F.when(F.col("kind") == 0, x)).alias("styled"), F.sum(F.when(F.col("kind") == 0, x * F.log(x))).alias("style_logs"),
         F.sum(F.when(F.col("kind") == 1, x)).alias("held"), F.sum(F.when(F.col("kind") == 1, x * F.log(x))).alias("content_logs"))
     m = F.log(F.col("pages").cast("double"))
@@ -258,7 +278,7 @@ def main_texts(pages: DataFrame, carry: list[str], threshold: float = THRESHOLD)
 
     A null or empty page has an empty text. Pages whose url has no host form one site.
     Character references are decoded once, white space of a block is folded, blocks are in page
-    order. Repeated rows count each time in the tree and give one result each; columns with
+    order. Pages with the same content count once in the tree and give one result each; columns with
     the names of the results are replaced; an empty table gives no rows.
     """
     names = [c for c in carry if c not in ("text", "n_chars")]

@@ -466,6 +466,20 @@ def test_importance_of_nodes(spark):
     assert min(got) == pytest.approx(0) and max(got) == pytest.approx(1)
 
 
+def page_rows(spark, htmls):
+    return spark.createDataFrame([(i, f"http://a.b/{i}", h) for i, h in enumerate(htmls)], "page_id bigint, url string, html string")
+
+
+def texts_of(spark, htmls):
+    return {r["page_id"]: r["text"] for r in style_tree.main_texts(page_rows(spark, htmls), ["page_id"]).collect()}
+
+
+def test_tree_cuts_inside_article(spark):
+    page = lambda i: f'<body><article><h1>Title {i}</h1><p>Story {i}</p><div class="box"><p>Read our terms</p></div></article><script>track({i})</script></body>'
+    got = texts_of(spark, [page(i) for i in range(8)] + [page(3).replace("track(3)", f"track({j})") for j in range(20, 50)])
+    assert got[2] == "Title 2\nStory 2" and got[3] == got[20] == "Title 3\nStory 3"  # copies do not erase each other
+
+
 # --- search -----------------------------------------------------------------
 
 @pytest.mark.parametrize("block, shard", [(2, 400), (256, 10**6)])
