@@ -241,22 +241,23 @@ def node_importance(pages: DataFrame) -> DataFrame:
     return sums.join(sizes, "host").select("host", "path", "parent", "pages", importance.alias("importance"))
 
 
-def noise_nodes(importance: DataFrame, threshold: float = THRESHOLD, depth: int = 64) -> DataFrame:
+def noise_nodes(importance: DataFrame, threshold: float = THRESHOLD, rounds: int = 60) -> DataFrame:
     """``(host, noise)``: paths whose whole branch stays below ``threshold``.
 
-    The tops of what matters are found upwards: every important node marks its parents, one
-    level a round, until no new node is marked.
+    Important nodes mark what is above them by jumps that double each round, so a branch of
+    any depth is marked in the logarithm of it; ``rounds`` only guards against a fault and raises.
     """
     nodes = keep(importance, "style-nodes")
-    known = nodes.select("host", "path", "parent")
-    marked = keep(nodes.filter(F.col("importance") >= threshold).select("host", "path", "parent"), "style-marked")
-    edge = marked
-    for _ in range(depth):
-        above = known.join(edge.select("host", F.col("parent").alias("path")).distinct(), ["host", "path"], "left_semi")
-        edge = keep(above.join(marked, ["host", "path"], "left_anti"), "style-edge")
-        if edge.isEmpty():
+    marked = nodes.filter(F.col("importance") >= threshold).select("host", "path")
+    jumps = nodes.filter(F.col("parent") != -1).select("host", "path", F.col("parent").alias("up"))
+    for _ in range(rounds):
+        above = marked.join(jumps, ["host", "path"]).select("host", F.col("up").alias("path"))
+        marked = keep(marked.unionByName(above).distinct(), "style-marked")
+        jumps = keep(jumps.join(jumps.select("host", F.col("path").alias("up"), F.col("up").alias("next")), ["host", "up"]).select("host", "path", F.col("next").alias("up")), "style-jumps")
+        if jumps.isEmpty():
             break
-        marked = marked.unionByName(edge)
+    else:
+        raise RuntimeError("the marks of the style tree did not settle")
     noise = nodes.join(marked, ["host", "path"], "left_anti")
     return noise.groupBy("host").agg(F.collect_set("path").alias("noise"))
 

@@ -480,6 +480,18 @@ def test_tree_cuts_inside_article(spark):
     assert got[2] == "Title 2\nStory 2" and got[3] == got[20] == "Title 3\nStory 3"  # copies do not erase each other
 
 
+def test_copies_count_once_without_article(spark):
+    page = lambda title, body: f'<body><div class="text"><h2>{title}</h2><p>{body}</p></div><div class="tail">All rights reserved</div></body>'
+    got = texts_of(spark, [page("Same", "copied story")] * 60 + [page(f"T{i}", f"story {i}") for i in range(3)])
+    assert got[0] == "Same\ncopied story" and got[60] == "T0\nstory 0"
+
+
+def test_deep_branches_keep_their_text(spark):
+    page = lambda i: "<body>" + "<span>" * 150 + f"Deep story {i}" + "</span>" * 150 + f'<div class="n">{i}</div></body>'
+    got = texts_of(spark, [page(i) for i in range(6)])
+    assert got[4] == "Deep story 4\n4"
+
+
 # --- search -----------------------------------------------------------------
 
 @pytest.mark.parametrize("block, shard", [(2, 400), (256, 10**6)])
