@@ -151,13 +151,15 @@ class Parser:
 
 
 def sample_windows(docs: DataFrame, held_out: int, windows: int, window_chars: int) -> dict[str, list[str]]:
-    """At most ``windows`` windows of text for each language, chosen by hash, on the driver."""
+    """At most ``windows`` windows for each language, of as many different texts, chosen by hash, on the driver."""
     spare = F.greatest(F.char_length("text") - window_chars + 1, F.lit(1))
     spot = (F.pmod(F.xxhash64(F.lit("window"), "text"), spare) + 1).cast("int")
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold("doc_id", held_out)).select(
-        "lang", F.substring(F.col("text"), spot, F.lit(window_chars)).alias("window"), F.xxhash64("text").alias("_h"))
-    first = Window.partitionBy("lang").orderBy("_h", "window")
-    chosen = rows.filter(F.col("window").rlike(r"\p{L}")).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= windows)
+        "lang", F.substring(F.col("text"), spot, F.lit(window_chars)).alias("window"), F.xxhash64("text").alias("_h")).filter(F.col("window").rlike(r"\p{L}"))
+    # the texts are chosen by hash alone, each once; only their windows are shuffled
+    first = Window.partitionBy("lang").orderBy("_h")
+    texts = rows.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= windows)
+    chosen = rows.join(F.broadcast(texts), ["lang", "_h"]).groupBy("lang", "_n").agg(F.min("window").alias("window"))
     found = chosen.orderBy("lang", "_n").limit(MAX_LANGUAGES * windows + 1).collect()
     samples: dict[str, list[str]] = {}
     for r in found:

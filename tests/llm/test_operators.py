@@ -86,6 +86,13 @@ def test_language_learns_only_from_its_fold(spark):
     assert language.fit(held).languages == []
 
 
+def test_language_learns_from_different_texts(spark):
+    texts = sorted({f"word{i} of text {i}" for i in range(60)}, key=lambda t: t)
+    rows = [(None, t, "en", "s") for t in texts for _ in range(70 if t.startswith("word1") else 1)]
+    windows = language.sample_windows(docs(spark, rows), 4, 48, 400)["en"]
+    assert len(windows) == len(set(windows)) == 48
+
+
 def test_held_out_accuracy(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.identify(table.withColumn("held", language.in_fold("doc_id", 4)), language.fit(table), ["lang", "held"])
