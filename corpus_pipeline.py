@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import exact_dedup, language, mixing, pieces, simhash
-from corvane.llm.common import fresh_path
+from corvane.llm.common import fresh_path, keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,10 +27,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
-    groups = simhash.simhash_groups(docs)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near duplicates stays, that of the smallest id; null ids come last, then the text decides."""
+    rows = keep(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("digest"), F.col("_row").alias("row"))
+    groups = simhash.simhash_groups(rows.select(order.alias("doc_id"), "text"))
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

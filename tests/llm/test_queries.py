@@ -63,6 +63,15 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert kept == set(brute_groups(dict(sorted(prints.items()))).values())
 
 
+def test_near_stage_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(300))
+    rows = [
+        (None, text(1), "en", "s"), (None, text(2), "en", "s"), (5, text(2), "en", "s"), (7, text(3), "en", "s"), (7, text(3), "en", "s"),
+        (8, text(4), "en", "s"), (8, text(5), "en", "s"), (3, text(5), "en", "s"), (None, text(6), "en", "s"), (None, text(6), "en", "s")]
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs(spark, rows), SF).collect()), key=lambda r: r[1])
+    assert got == [(None, text(1)), (5, text(2)), (7, text(3)), (8, text(4)), (3, text(5)), (None, text(6))]
+
+
 def test_pipeline_on_odd_rows(spark):
     rows = docs(spark, ODD)
     for _, stage in corpus_pipeline.STAGES:
