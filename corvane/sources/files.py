@@ -128,7 +128,8 @@ def read_csv_rows(spark: SparkSession, path) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("path"),
         (F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.expr("8589934592BD") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).cast("decimal(38,0)").alias("pos"))
     line = F.regexp_replace("value", "^\ufeff|\r$", "")
-    found = F.regexp_extract_all(line, F.lit(r'''(?:^|,)("(?:[^"]|"")*"|[^,]*)'''), F.lit(1))
+    # a comma before every cell: an empty match would pass over the one after it
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r''',("(?:[^"]|"")*"|[^,]*)'''), F.lit(1))
     plain = lambda c: F.when(c.rlike('^".*"$'), F.replace(F.regexp_extract(c, '^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(c)
     return lines.select("path", "pos", F.transform(found, plain).alias("cells"))
 

@@ -115,6 +115,12 @@ def test_json_and_csv_readers(spark, tmp_path):
     assert {r["url"] for r in files.read_jsonl(spark, str(tmp_path / "l.jsonl"), schema).collect()} == {"a", "b"}
 
 
+def test_csv_rows_keep_empty_cells(spark, tmp_path):
+    (tmp_path / "t.csv").write_text(',a,b\n,,\n"",x\nz,\n')
+    rows = files.read_csv_rows(spark, str(tmp_path / "t.csv")).orderBy("pos").collect()
+    assert [r["cells"] for r in rows] == [["", "a", "b"], ["", "", ""], ["", "x"], ["z", ""]]
+
+
 def test_markdown_tree_and_vectors(spark, tmp_path):
     (tmp_path / "w" / "x").mkdir(parents=True)
     (tmp_path / "w" / "x" / "a.md").write_text("# A\n")
