@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, context_tree, exact_dedup, language, mixing, pieces, search, simhash, style_tree, url_filter
+from corvane.llm import chat, context_tree, exact_dedup, language, mixing, phrase_index, pieces, search, simhash, style_tree, url_filter
 from corvane.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,32 @@ def op9(spark, sf):
     docs = read(spark, sf, "documents", "doc_id", "text")
     asked = docs.filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
     return search.search(search.build_index(docs), asked)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, ws[i : i + 9] AS words FROM b, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) u(i) WHERE len(ws) > 0),
+grams AS (SELECT doc_id, i, k, array_to_string(ws[i : i + k - 1], ' ') AS gram FROM d, (SELECT DISTINCT len(words) AS k FROM win), unnest(range(1, len(ws) - k + 2)) u(i)),
+hits AS (SELECT doc_id, i, k, item_id FROM grams JOIN win ON gram = array_to_string(words, ' ') AND k = len(words)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY 1),
+item AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY 1),
+pos AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+cf AS (SELECT w, count(*) AS c FROM pos GROUP BY 1),
+rare AS (SELECT item_id, words, arg_min(w, (coalesce(c, 0), w)) AS w FROM (SELECT item_id, words, unnest(words) AS w FROM win) LEFT JOIN cf USING (w) GROUP BY 1, 2),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM rare JOIN pos USING (w) JOIN d USING (doc_id), range(15) u(s)
+  WHERE list_has_all(ws[greatest(p - s, 1) : p - s + 14], words) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id) LEFT JOIN near USING (doc_id)"""
+
+
+@query("op11_phrase_index", OP11_SQL)
+def op11(spark, sf):
+    """Benchmark phrases of ten words in every document; ``n_near`` items have a window within fifteen words."""
+    index = phrase_index.build_index(read(spark, sf, "documents", "doc_id", "text"), ["doc_id"])
+    found = phrase_index.find(index, read(spark, sf, "benchmark", "item_id", "text"), within=phrase_index.WITHIN)
+    ids = F.array_sort(F.transform("items", lambda x: F.coalesce(x.cast("string"), F.lit(""))))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("bigint").alias("n_near"))
