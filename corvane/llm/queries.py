@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, context_tree, exact_dedup, language, mixing, phrase_index, pieces, search, simhash, style_tree, url_filter
+from corvane.llm import chat, context_tree, exact_dedup, language, mixing, phrase_index, pieces, search, simhash, style_tree, url_filter, whitening
 from corvane.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,10 @@ def op11(spark, sf):
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("bigint").alias("n_near"))
+
+
+@query("op12_whitening")
+def op12(spark, sf):
+    """First eight whitened components of every sound embedding."""
+    rows = read(spark, sf, "embeddings", "vec_id", "embedding")
+    return whitening.whiten(rows, "embedding", ["vec_id"])
