@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, context_tree, exact_dedup, language, mixing, phrase_index, pieces, search, simhash, style_tree, url_filter, whitening
+from corvane.llm import chat, collocations, context_tree, exact_dedup, language, mixing, phrase_index, pieces, search, simhash, style_tree, url_filter, whitening
 from corvane.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,27 @@ def op12(spark, sf):
     """First eight whitened components of every sound embedding."""
     rows = read(spark, sf, "embeddings", "vec_id", "embedding")
     return whitening.whiten(rows, "embedding", ["vec_id"])
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda v: v <> '') AS ws FROM p),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+    FROM w, range(1, 4) u(k), unnest(range(1, len(ws) - k + 2)) v(i)) GROUP BY ALL),
+s AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT lang, k, phrase, a, i, array_to_string(ws[:i], ' ') AS lp, array_to_string(ws[i + 1 :], ' ') AS rp FROM c, range(1, 3) u(i) WHERE i < k),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, x.a AS l, y.a AS r, i, (1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inner2 AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS part FROM c WHERE k = 3) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner2 ON b.lang = inner2.lang AND b.phrase = part WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN s USING (lang) QUALIFY rank <= 2000"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark, sf):
+    """The first two thousand phrases of two or three words of each language."""
+    return collocations.collocations(read(spark, sf, "documents", "lang", "text"))
