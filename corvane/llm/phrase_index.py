@@ -33,7 +33,7 @@ from corvane.llm.tokens import Words, byte_class, text_blocks
 
 WIDTH = 10
 WITHIN = 15
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 3_000_000
 PART_WINDOWS = 400_000
 CANDIDATES = 1_000_000
 # The contract's word characters after lower-casing, as bytes and as a Java class.
