@@ -9,7 +9,7 @@ from corvane.catalog import sqltext as S
 from corvane.catalog.registry import ORACLES, query, table
 from corvane.functions import text as X
 from corvane.operators import chunking, ranking
-from corvane.plans import lexical
+from corvane.plans import eager, lexical
 from corvane.session import run_dir
 
 
@@ -177,3 +177,26 @@ SELECT qid, corpus, id, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score FROM t
 def q_tfidf_all(spark, sf):
     return ranking.tfidf_scores(index_rows(spark, sf), questions(spark, sf)).select(
         "qid", "corpus", "id", F.round("score", 6).alias("score"))
+
+
+def _eager_words(expr: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in eager.STOP_WORDS)
+    return rf"list_filter(regexp_extract_all(lower({expr}), '{eager.WORD}'), lambda w: w NOT IN ({stops}))"
+
+
+@query("eager_bm25_top5", f"""
+WITH {S.INDEX}, {QUESTIONS},
+d AS (SELECT id, {_eager_words("title || chr(10) || text")} AS t FROM idx WHERE corpus = 'wiki'),
+s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+c AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+q AS (SELECT DISTINCT qid, unnest({_eager_words("query")}) AS term FROM questions),
+r AS (SELECT qid, id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf / (tf + 1.5 * (1.0 - 0.75 + 0.75 * dl / mean)))), 9) AS score
+  FROM c JOIN f USING (term) JOIN q USING (term), s GROUP BY 1, 2)
+SELECT qid, id, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM r WHERE score > 0) WHERE rank <= 5""")
+def q_eager(spark, sf):
+    """Scores computed with the index of the wiki chunks; a question only adds up slices."""
+    root = run_dir(spark, "eager")
+    eager.write_scores(index_rows(spark, sf).filter("corpus = 'wiki'"), root)
+    return eager.eager_top(spark, root, questions(spark, sf), 5).select("qid", "id", F.round("score", 6).alias("score"), "rank")

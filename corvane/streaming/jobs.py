@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corvane.operators import ordered
 from corvane.operators.relational import latest_per_key, union_all
 from corvane.operators.state import GUARD_TTL, Guard, guard_step
-from corvane.session import run_dir
+from corvane.session import exists, run_dir
 
 
 def read_stream(spark: SparkSession, folder: str, schema, files: str | None = None, per_trigger: int | None = None) -> DataFrame:
@@ -67,16 +67,11 @@ def to_table(stream: DataFrame, mode: str = "append", table: str | None = None)
         df.write.mode("overwrite").parquet(os.path.join(table, f"batch={batch_id}"))
 
     run_available(stream, write, mode, f"{table}-checkpoint" if named else None)
-    if not _exists(spark, table):
+    if not exists(spark, table):
         spark.createDataFrame([], schema).write.parquet(os.path.join(table, "batch=-1"))
     return table
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Newest row of each key of a table written in update mode."""
     return latest_per_key(spark.read.parquet(path), keys, "batch").drop("batch")
