@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.catalog.registry import query, table
 from corvane.functions import urls as U
 from corvane.operators import crawl
+from corvane.session import through_table
 
 URI = U.URI.replace("'", "''")
 NOW = "TIMESTAMP '2026-06-01 00:00:00'"
@@ -264,3 +265,54 @@ def q_sitemaps(spark, sf):
     ).select(F.concat_ws("-", "h", "s").alias("sitemap"), "xml")
     found = crawl.discovered_from_sitemaps(crawl.parse_sitemaps(maps), "www.example.org")
     return found.select("url", "selected", "excluded_reason")
+
+
+# Sitemaps made of the pages: a leaf for about twenty of them, an index for four leaves, which also names
+# the root again and one that is missing, and a root over three of four indexes.
+TREE = f"""
+WITH RECURSIVE {POLICY.strip()}, n AS (SELECT greatest(count(*) // 20, 1) AS leaves FROM pages),
+leaf AS (SELECT url, page_id % leaves AS l FROM pages, n),
+links AS (SELECT DISTINCT 'index-' || (l // 4) AS sitemap, 'leaf-' || l AS child FROM leaf
+  UNION SELECT 'root', 'index-' || (l // 4) FROM leaf WHERE (l // 4) % 4 <> 3
+  UNION SELECT 'index-' || (l // 4), 'root' FROM leaf UNION SELECT 'index-' || (l // 4), 'missing-' || (l // 4) FROM leaf),
+walk AS (SELECT 'root' AS sitemap, 0 AS depth UNION SELECT child, depth + 1 FROM walk JOIN links USING (sitemap) WHERE depth < 6),
+visited AS (SELECT sitemap, min(depth) AS depth FROM walk GROUP BY 1)"""
+
+
+def sitemap_tree(spark, sf):
+    """XML of the leaves, indexes and the root; a leaf holds about twenty addresses, however many there are."""
+    rows = pages(spark, sf)
+    leaves = max(rows.count() // 20, 1)
+    placed = rows.select("url", F.pmod("page_id", F.lit(leaves)).alias("l"))
+    head, space = '<?xml version="1.0"?>', "http://www.sitemaps.org/schemas/sitemap/0.9"
+
+    def xml(root: str, entry: str, locs):
+        body = F.array_join(F.transform(locs, lambda u: F.concat(F.lit(f"<{entry}><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc></{entry}>"))), "")
+        return F.concat(F.lit(f'{head}<{root} xmlns="{space}">'), body, F.lit(f"</{root}>")).alias("xml")
+
+    index = F.concat(F.lit("index-"), F.col("i"))
+    leaf = placed.groupBy("l").agg(F.collect_list("url").alias("urls")).select(F.concat(F.lit("leaf-"), "l").alias("sitemap"), xml("urlset", "url", F.col("urls")))
+    under = placed.select("l", F.expr("l div 4").alias("i")).distinct()
+    members = under.groupBy("i").agg(F.collect_list(F.concat(F.lit("leaf-"), "l")).alias("leaves"))
+    middle = members.select(index.alias("sitemap"), xml("sitemapindex", "sitemap", F.concat("leaves", F.array(F.lit("root"), F.concat(F.lit("missing-"), "i")))))
+    # the root names indexes in parts of its own, so that it stays small
+    named = members.filter("i % 4 <> 3").select(F.lit("root").alias("sitemap"), xml("sitemapindex", "sitemap", F.array(index)))
+    return leaf.unionByName(middle).unionByName(named)
+
+
+@query("sitemap_tree", TREE + f"""
+SELECT p.url, 'leaf-' || l AS source_sitemap, depth, {_KEPT} AS selected, CASE WHEN NOT {_KEPT} THEN reason END AS excluded_reason
+FROM policy p JOIN u USING (page_id) JOIN leaf ON leaf.url = p.url JOIN visited ON visited.sitemap = 'leaf-' || l
+WHERE array_to_string(string_split(lower(netloc), '.')[-2:], '.') = 'example.org'""")
+def q_sitemap_tree(spark, sf):
+    """A nested sitemap index with cycles and missing members, walked from its root."""
+    entries = through_table(crawl.parse_sitemaps(sitemap_tree(spark, sf)), "sitemap-entries")
+    visited = crawl.visit_sitemaps(entries, entries.sparkSession.createDataFrame([("root",)], "sitemap string"))
+    return crawl.discovered_by_visits(entries, visited, "www.example.org").select("url", "source_sitemap", "depth", "selected", "excluded_reason")
+
+
+@query("sitemap_visits", TREE + """
+SELECT sitemap, depth, NOT starts_with(sitemap, 'missing-') AS known FROM visited""")
+def q_sitemap_visits(spark, sf):
+    entries = crawl.parse_sitemaps(sitemap_tree(spark, sf))
+    return crawl.visit_sitemaps(entries, spark.createDataFrame([("root",)], "sitemap string"))

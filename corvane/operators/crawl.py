@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import urls as U
 from corvane.functions.text import contains_any, matches_any, text_or_empty
 from corvane.operators.relational import first_per_key, latest_per_key, top_k
+from corvane.session import through_table
 
 THRESHOLD = 70
 
@@ -401,6 +402,58 @@ def parse_sitemaps(sitemaps: DataFrame) -> DataFrame:
     ).filter("loc <> ''")
 
 
+# Where a sitemap is looked for when robots.txt names none.
+COMMON_SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml", "/sitemap-index.xml")
+
+
+def sitemap_seeds(sites: DataFrame) -> DataFrame:
+    """``(site_url, sitemap)`` to begin with: the ``Sitemap:`` lines of ``robots``, else the common places.
+
+    ``sites (site_url, robots)``; ``robots`` is null where there is no such file.
+    """
+    named = F.filter(
+        F.transform(F.regexp_extract_all(F.coalesce("robots", F.lit("")), F.lit(r"(?im)^sitemap:([^\r\n]*)"), F.lit(1)), lambda p: F.trim(p)), lambda p: p != "")
+    common = F.array(*[F.concat(U.scheme(F.col("site_url")), F.lit("://"), U.netloc(F.col("site_url")), F.lit(p)) for p in COMMON_SITEMAPS])
+    return sites.select("site_url", F.explode(F.when(F.size(named) > 0, named).otherwise(common)).alias("sitemap")).distinct()
+
+
+def visit_sitemaps(entries: DataFrame, seeds: DataFrame, rounds: int = 50) -> DataFrame:
+    """``(sitemap, depth, known)`` of every sitemap met from ``seeds (sitemap)`` on.
+
+    ``entries`` are those of ``parse_sitemaps``; a sitemap among them is ``known``, others are named
+    but were not fetched. Each round follows the children of the last one's sitemaps that no round
+    has visited, so cycles end; the chain of indexes may be ``rounds`` long, a longer one raises.
+    """
+    links = through_table(entries.filter("kind = 'child'").select("sitemap", F.col("loc").alias("child")).distinct(), "sitemap-links")
+    frontier = through_table(seeds.select("sitemap", F.lit(0).alias("depth")).distinct(), "sitemap-round")
+    visited = frontier
+    for depth in range(1, rounds + 1):
+        children = frontier.join(links, "sitemap").select(F.col("child").alias("sitemap"), F.lit(depth).alias("depth")).distinct()
+        frontier = through_table(children.join(visited, "sitemap", "left_anti"), "sitemap-round")
+        if frontier.isEmpty():
+            break
+        visited = visited.unionByName(frontier)
+    else:
+        raise RuntimeError(f"sitemap indexes are nested more than {rounds} deep")
+    there = entries.select("sitemap").distinct().withColumn("known", F.lit(True))
+    return visited.join(there, "sitemap", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def discovered_by_visits(entries: DataFrame, visited: DataFrame, site_host: str) -> DataFrame:
+    """In-domain URLs of the visited sitemaps as discovered rows with ``depth``; the first mention counts.
+
+    Sitemaps nearer to the seeds come first, those of a depth by name.
+    """
+    met = entries.filter("kind = 'url'").join(visited.filter("known").select("sitemap", "depth"), "sitemap")
+    inside = met.filter(U.same_domain(F.col("loc"), F.lit(site_host)))
+    first = first_per_key(inside, ["loc"], [F.col("depth"), F.col("sitemap"), F.col("pos")])
+    return apply_policy(first.select(
+        F.col("loc").alias("url"), F.col("sitemap").alias("source_sitemap"), "depth", "lastmod",
+        U.path_category(U.path(F.col("loc"))).alias("path_category"), F.lit("html").alias("content_type_guess"),
+        F.lit(None).cast("string").alias("excluded_reason"), F.lit(True).alias("selected"),
+    ))
+
+
 def discovered_from_sitemaps(entries: DataFrame, site_host: str) -> DataFrame:
     """In-domain sitemap URLs as discovered rows, first mention kept, policy applied."""
     inside = entries.filter((F.col("kind") == "url") & U.same_domain(F.col("loc"), F.lit(site_host)))
