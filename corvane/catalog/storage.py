@@ -80,6 +80,23 @@ def q_csv(spark, sf):
     return rows.select(rows.cells[0].cast("bigint").alias("c_custkey"), F.size("cells").alias("width"), rows.cells[1].alias("cell"))
 
 
+@query("stored_csv_records", """
+SELECT c_custkey AS custkey, CASE c_custkey % 5 WHEN 0 THEN '' ELSE c_name END AS first_cell, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment || chr(10) || chr(10) || '"' || c_nationkey || '",' || chr(10)
+  ELSE c_mktsegment || ', ' || c_nationkey END AS second_cell, CASE c_custkey % 4 WHEN 0 THEN 3 ELSE 4 END::INTEGER AS width FROM customer""")
+def q_csv_records(spark, sf):
+    """Records with quoted line breaks, commas and quotes and with empty first cells, in files of many blocks."""
+    path = run_dir(spark, "csv-records")
+    k = F.col("c_custkey")
+    cell = F.when(k % 3 == 0, F.concat("c_mktsegment", F.lit('\n\n"'), "c_nationkey", F.lit('",\n'))).otherwise(F.concat("c_mktsegment", F.lit(", "), "c_nationkey"))
+    quoted = F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))
+    first = F.when(k % 5 == 0, "").otherwise(F.col("c_name"))
+    record = F.concat_ws(",", first, quoted, k.cast("string"), F.when(k % 4 != 0, F.lit("")))
+    table(spark, sf, "customer").coalesce(2).select(record).write.text(path)
+    rows = files.read_csv_rows(spark, path, split_bytes=4096).select("cells")
+    return rows.select(
+        rows.cells[2].cast("bigint").alias("custkey"), rows.cells[0].alias("first_cell"), rows.cells[1].alias("second_cell"), F.size("cells").alias("width"))
+
+
 @query("sampled_urls", """
 SELECT page_id, url FROM (SELECT * FROM (SELECT * FROM pages ORDER BY page_id OFFSET 20) WHERE trim(coalesce(url, '')) <> '' ORDER BY page_id LIMIT 100)""")
 def q_sampled(spark, sf):

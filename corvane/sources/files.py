@@ -10,13 +10,14 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.text import SPACE_CHARS
 from corvane.operators import registry
 from corvane.operators.relational import latest_per_key
+from corvane.session import through_table
 
 CORRUPT = "_corrupt"
 
@@ -117,21 +118,89 @@ def latest_report(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return rows.filter(F.try_parse_json("value").isNotNull()).orderBy(F.col("modified_at").desc(), F.col("path").desc()).limit(1)
 
 
-def read_csv_rows(spark: SparkSession, path) -> DataFrame:
+# a field that is complete on its line, after its comma; never matched from inside its quotes
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"[^,]*+'
+_FIELD = rf',(?:{_QUOTED}|(?!")[^,]*+)'
+_CLOSING = r'^[^"]*+(?:""[^"]*+)*+"[^,]*+'
+
+
+def _scanned(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """What the rows before each one do to the state "inside quotes", as ``_turns`` and ``_last``.
+
+    A row either toggles the state (``_toggle`` 1), leaves it, or sets it (``_sets`` not null), so the
+    rows before amount to the last one that sets it and the number of toggles since.
+    """
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    turned = rows.withColumn("_turns", F.coalesce(F.sum("_toggle").over(before), F.lit(0)))
+    return turned.withColumn("_last", F.max(F.when(F.col("_sets").isNotNull(), F.struct(order, "_sets", "_turns"))).over(before))
+
+
+def _odd(n: Column) -> Column:
+    return n % 2 == 1
+
+
+def _csv_lines(spark: SparkSession, path, split_bytes: int | None = None) -> DataFrame:
+    """``(path, block, pos, value, inside, open)`` of every line: whether it begins and whether it ends in quotes.
+
+    Blocks of a file are split by Spark; each is summed up in one row, and what the blocks before
+    amount to tells whether a block begins in quotes.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"), "value")
+    rest = lambda line: F.regexp_replace(line, _FIELD, "")
+    opens = rest(F.concat(F.lit(","), "value")) != ""
+    closes = F.col("value").rlike(_CLOSING) & (rest(F.regexp_replace("value", _CLOSING, "")) == "")
+    judged = raw.withColumn("_opens", opens).withColumn("_closes", closes)
+    judged = judged.withColumn("_sets", F.when(F.col("_opens") != F.col("_closes"), F.col("_opens"))).withColumn("_toggle", (F.col("_opens") & F.col("_closes")).cast("long"))
+    setting, usual = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if split_bytes:
+            spark.conf.set(setting, split_bytes)
+        lines = through_table(judged, "csv-lines")
+    finally:
+        spark.conf.set(setting, usual)
+    scanned = _scanned(lines, ["path", "block"], "pos")
+    sums = scanned.groupBy("path", "block").agg(F.max(F.when(F.col("_sets").isNotNull(), F.struct("pos", "_sets", "_turns"))).alias("_at"), F.sum("_toggle").alias("_all"))
+    blocks = sums.select(
+        "path", "block", F.when(F.col("_at").isNotNull(), F.col("_at._sets") != _odd(F.col("_all") - F.col("_at._turns"))).alias("_sets"),
+        F.when(F.col("_at").isNull(), F.col("_all") % 2).otherwise(0).alias("_toggle"))
+    before = lambda entry: F.when(F.col("_last").isNull(), entry != _odd(F.col("_turns"))).otherwise(F.col("_last._sets") != _odd(F.col("_turns") - F.col("_last._turns")))
+    entries = _scanned(blocks, ["path"], "block").select("path", "block", before(F.lit(False)).alias("_entry"))
+    met = scanned.join(entries, ["path", "block"]).withColumn("inside", before(F.col("_entry")))
+    return met.select("path", "block", "pos", "value", "inside", F.when(F.col("inside"), ~F.col("_closes")).otherwise(F.col("_opens")).alias("open"))
+
+
+def read_csv_rows(spark: SparkSession, path, split_bytes: int | None = None) -> DataFrame:
     """``(path, pos, cells)`` of CSV files: all text, ragged rows keep their own width.
 
-    Files are split; ``pos`` orders the lines of a file by the split's start and the line's
-    place in it. Cells may be quoted, quotes doubled within; a line break ends a row even in
-    quotes.
+    Files are split; ``pos`` (block of the file and line in it) orders the records of a file. Cells
+    may be quoted, quotes doubled within, and hold line breaks, so a record may span lines, and
+    blocks. Quotes inside a plain cell are text, as is what follows a closing quote; a quote that is
+    never closed takes the rest of the file. A blank line is a record without cells. ``split_bytes``
+    is the size of a block, that of the session unless given.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("path"),
-        (F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.expr("8589934592BD") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).cast("decimal(38,0)").alias("pos"))
-    line = F.regexp_replace("value", "^\ufeff|\r$", "")
+    lines = _csv_lines(spark, path, split_bytes)
+    place = F.struct("block", "pos")
+    whole = lines.filter(~F.col("inside") & ~F.col("open")).select("path", place.alias("pos"), F.col("value").alias("record"))
+    # lines of records that span several, with the line each begins on
+    parts = lines.filter(F.col("inside") | F.col("open")).withColumn("at", place).withColumn("first", F.when(~F.col("inside"), F.col("at")))
+    upto = Window.partitionBy("path", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    own = parts.withColumn("first", F.max("first").over(upto))
+    borders = parts.groupBy("path", "block").agg(F.max("first").alias("_latest"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    borders = borders.select("path", "block", F.max("_latest").over(earlier).alias("_before"))
+    begun = own.join(borders, ["path", "block"]).withColumn("first", F.coalesce("first", "_before"))
+    spanning = begun.groupBy("path", F.col("first").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("_lines")).select(
+        "path", "pos", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("record"))
+    first = (F.col("pos.block") == 0) & (F.col("pos.pos") == 0)
+    text = F.regexp_replace(F.when(first, F.regexp_replace("record", "^﻿", "")).otherwise(F.col("record")), r"\r$", "")
     # a comma before every cell: an empty match would pass over the one after it
-    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r''',("(?:[^"]|"")*"|[^,]*)'''), F.lit(1))
-    plain = lambda c: F.when(c.rlike('^".*"$'), F.replace(F.regexp_extract(c, '^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(c)
-    return lines.select("path", "pos", F.transform(found, plain).alias("cells"))
+    found = F.regexp_extract_all(F.concat(F.lit(","), "_text"), F.lit(rf',({_QUOTED}|"[\s\S]*+|(?!")[^,]*+)'), F.lit(1))
+    opened = r'^"([^"]*+(?:""[^"]*+)*+)"?([\s\S]*+)$'
+    plain = lambda c: F.when(c.startswith('"'), F.concat(F.replace(F.regexp_extract(c, opened, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, opened, 2))).otherwise(c)
+    cells = F.when(F.col("_text") == "", F.array().cast("array<string>")).otherwise(F.transform(found, plain))
+    return whole.unionByName(spanning).withColumn("_text", text).select("path", "pos", cells.alias("cells"))
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
