@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.catalog.registry import query, table
 from corvane.functions import urls as U
-from corvane.operators import crawl
+from corvane.operators import approvals, crawl
 from corvane.session import through_table
 
 URI = U.URI.replace("'", "''")
@@ -316,3 +316,50 @@ SELECT sitemap, depth, NOT starts_with(sitemap, 'missing-') AS known FROM visite
 def q_sitemap_visits(spark, sf):
     entries = crawl.parse_sitemaps(sitemap_tree(spark, sf))
     return crawl.visit_sitemaps(entries, spark.createDataFrame([("root",)], "sitemap string"))
+
+
+# messages that name words, numbers, groups, schools, and addresses that are discovered or new
+_ASKED = (
+    "text", "text || ' choose 7 path:/de'", "'exclude ' || text", "'add https://new.example.org/courses/' || conv_id || ' and https://new.example.org/login, 3 pages'",
+    "'approve cox and law'", "'approve 12 urls'", "'top 20 pages of example.net, avoid example'", "'please add fr/' || (conv_id % 900)")
+_WORD_HIT = lambda words: "regexp_matches(low, '(^|[^\\p{L}\\p{N}_])(" + "|".join(words) + ")($|[^\\p{L}\\p{N}_])')"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_ALIAS_SQL = ", ".join(f"CASE WHEN {_WORD_HIT(dict.fromkeys((k, *v)))} THEN {_LIST(v)} ELSE [] END" for k, v in approvals.ALIASES.items())
+
+
+@query("approval_candidates", f"""
+WITH {POOL},
+m AS (SELECT conv_id * 100 + turn AS msg_id, CASE conv_id % 8 {' '.join(f"WHEN {i} THEN {x}" for i, x in enumerate(_ASKED))} END AS message FROM conversations),
+p AS (SELECT *, lower(regexp_replace(message, '(?is)(^|[^\\p{{L}}\\p{{N}}_])(exclude|reject|do not include|avoid|remove)($|[^\\p{{L}}\\p{{N}}_]).*', '')) AS low FROM m),
+t AS (SELECT msg_id, message, list_distinct(flatten([{_ALIAS_SQL}, CASE WHEN {_WORD_HIT(("schools", "colleges"))} THEN {_LIST(approvals.ALL_SCHOOLS)} ELSE [] END,
+   list_filter(regexp_extract_all(low, '[a-z0-9][a-z0-9-]{{3,}}'), lambda w: NOT list_contains({_LIST(approvals.TERM_STOP)}, w))])) AS terms FROM p),
+a AS (SELECT *, len(list_intersect(list_transform(terms, lambda x: replace(replace(x, '-', ''), ' ', '')), {_LIST(crawl.SCHOOL_TERMS)})) > 0 AS schools,
+   list_transform(regexp_extract_all(message, 'https?://[^\\s)\\]}}>"'']+'), lambda u: rtrim(u, '.,;')) AS urls, regexp_extract_all(message, '(?i)path:([^\\s,;]+)', 1) AS paths,
+   least(coalesce(nullif(nullif(regexp_extract(message, '(?i)(?:top|first|best|up\\s+to)\\s+(\\d{{1,6}})', 1), '')::INT, 0), nullif(nullif(regexp_extract(message, '(?i)choose\\s+(\\d{{1,6}})', 1), '')::INT, 0),
+     nullif(nullif(regexp_extract(message, '(?i)(\\d{{1,6}})\\s+(?:urls?|pages?|links?)', 1), '')::INT, 0), 50), 500) AS size FROM t),
+ex AS (SELECT msg_id, 0 AS side, i::BIGINT AS pos, 'https://new.example.org/courses/' || ((msg_id // 100)) AS url, 'explicit_url' AS reason FROM a, range(1) x(i) WHERE len(urls) > 0 AND contains(message, 'new.example.org')),
+hit AS (SELECT DISTINCT a.msg_id, gk.subpath FROM a, gk WHERE NOT schools AND list_any_value(list_filter(terms, lambda x: contains(lower(gk.url), x))) IS NOT NULL),
+grp AS (SELECT * FROM hit UNION SELECT msg_id, '/' || trim(unnest(paths), '/') FROM a UNION SELECT msg_id, '/courses/' || (msg_id // 100) FROM ex
+   UNION SELECT msg_id, '/login' FROM ex UNION SELECT msg_id, '/school' FROM a WHERE schools),
+narrowed AS (SELECT DISTINCT msg_id FROM grp WHERE msg_id NOT IN (SELECT msg_id FROM a WHERE len(terms) = 0 AND NOT schools)),
+ok AS (SELECT page_id AS pos, url, subpath FROM gk WHERE {_KEPT} AND page_id % 17 <> 0),
+c AS (SELECT * FROM ex UNION ALL SELECT a.msg_id, 1, pos, ok.url, 'subpath:' || subpath FROM a, ok
+   WHERE a.msg_id NOT IN (SELECT msg_id FROM narrowed) OR EXISTS (SELECT 1 FROM grp WHERE grp.msg_id = a.msg_id AND grp.subpath = ok.subpath)),
+r AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY side, pos) AS place FROM c)
+SELECT r.msg_id, place::INTEGER AS place, url, reason FROM r JOIN a USING (msg_id) WHERE side = 0 OR place <= size""")
+def q_approvals(spark, sf):
+    """Candidates of every message of the conversations among the pages' addresses."""
+    c = F.col("conv_id")
+    said = F.col("text")
+    asked = (
+        said, F.concat(said, F.lit(" choose 7 path:/de")), F.concat(F.lit("exclude "), said),
+        F.concat(F.lit("add https://new.example.org/courses/"), c, F.lit(" and https://new.example.org/login, 3 pages")), F.lit("approve cox and law"),
+        F.lit("approve 12 urls"), F.lit("top 20 pages of example.net, avoid example"), F.concat(F.lit("please add fr/"), c % 900))
+    message = F.when(c % 8 == 0, asked[0])
+    for i, text in enumerate(asked[1:], 1):
+        message = message.when(c % 8 == i, text)
+    messages = table(spark, sf, "conversations", "conv_id", "turn", "text").select((c * 100 + F.col("turn")).alias("msg_id"), message.alias("message"))
+    rows = pages(spark, sf).select(
+        F.col("page_id").alias("pos"), "url", F.lit("").alias("title"), F.lit(None).cast("string").alias("lastmod"),
+        F.when(F.col("page_id") % 17 == 0, "operator_rejected_area").alias("excluded_reason"))
+    return approvals.approval_candidates(messages, rows)
