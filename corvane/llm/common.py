@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +42,15 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is run inside; rows with whole texts are large."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, rows)
+        yield
+    finally:
+        spark.conf.set(setting, usual)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import keep
+from corvane.llm.common import batches_of, keep
 from corvane.llm.tokens import Words, byte_class, text_blocks
 
 WIDTH = 10
@@ -36,6 +36,8 @@ WITHIN = 15
 SHARD_BYTES = 3_000_000
 PART_WINDOWS = 400_000
 CANDIDATES = 1_000_000
+# texts, and blocks of the index, handed to a task at once
+BATCH_ROWS, BATCH_BLOCKS = 1000, 2
 # The contract's word characters after lower-casing, as bytes and as a Java class.
 WORD_BYTES = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -96,7 +98,8 @@ def build_index(docs: DataFrame, carry: list[str], text: str = "text", shard_byt
     schema = T.StructType([
         T.StructField("shard", T.LongType()), T.StructField("docs", T.ArrayType(inner)),
         *(T.StructField(n, T.BinaryType()) for n in ("terms", "term_ends", "sizes", "places"))])
-    index = keep(rows.mapInArrow(_index([f"_c{i}" for i in range(len(names))], shard_bytes), schema), "phrase-index")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        index = keep(rows.mapInArrow(_index([f"_c{i}" for i in range(len(names))], shard_bytes), schema), "phrase-index")
     named = T.ArrayType(T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(names, inner.fields)), T.StructField("n_words", T.LongType())]))
     return index.withColumn("docs", F.col("docs").cast(named))
 
@@ -283,7 +286,8 @@ def find(index: DataFrame, benchmark: DataFrame, width: int = WIDTH, within: int
     for part in range(parts):  # a pass for each part, whose windows are bounded
         rows = asked.filter(F.pmod(F.xxhash64("words", "item"), F.lit(parts)) == part)
         shared = spark.sparkContext.broadcast(Part(rows.toArrow()))
-        hits = keep(stored.mapInArrow(_match(shared, within), schema), "phrases")
+        with batches_of(spark, BATCH_BLOCKS):
+            hits = keep(stored.mapInArrow(_match(shared, within), schema), "phrases")
         shared.destroy()
         found = hits if found is None else found.unionByName(hits)
     if parts > 1:
