@@ -1,4 +1,4 @@
 """Registered queries and the SQL each one must agree with."""
 
 from corvane.catalog.registry import ORACLES, QUERIES
-from corvane.catalog import answers, corpus, crawling, documents, metrics, quality, sources, stateful, storage, streams, upkeep  # noqa: F401
+from corvane.catalog import answers, composites, corpus, crawling, documents, metrics, quality, sources, stateful, storage, streams, upkeep  # noqa: F401

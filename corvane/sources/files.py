@@ -226,6 +226,32 @@ def write_pages(pieces: DataFrame, path: str, key: str, order: list[str], text:
     ranged.select(key, *order, text).write.parquet(path)
 
 
+def write_markdown_tree(rows: DataFrame, root: str) -> None:
+    """One file for each of ``rows (path, text)`` below ``root``, written by tasks; the later of equal paths wins.
+
+    A file is replaced whole. ``root`` is a folder of a store that pyarrow reaches.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import posixpath
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                target = posixpath.join(base, path)
+                folder = posixpath.dirname(target)
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(target) as out:
+                    out.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    rows.select("path", "text").mapInPandas(run, "n bigint").write.format("noop").mode("overwrite").save()
+
+
 def sample_urls(rows: DataFrame, order: str, limit: int, offset: int = 0) -> DataFrame:
     """``limit`` non-blank URLs after the first ``offset`` rows in ``order``."""
     rest = rows.orderBy(order).offset(offset).filter(F.trim(F.coalesce("url", F.lit(""))) != "")
