@@ -269,6 +269,14 @@ def q_vector(spark, sf):
     return leg.select("qid", "id", "pos", F.round("retrieval_vector", 6).alias("score"))
 
 
+@query("vector_leg_exact", f"""
+{CHAIN.replace('greatest(round(sum(q.v * d.v), 9), 0.0)', 'greatest(((sum(round(q.v * 1000000)::BIGINT * round(d.v * 1000000)::BIGINT) + 500)::HUGEINT // 1000)::DOUBLE / 1000000000.0, 0.0)')}
+SELECT qid, id, rank::INTEGER AS pos, round(score::DECIMAL(28, 11), 6)::DOUBLE AS score FROM vec_hits""")
+def q_vector_exact(spark, sf):
+    """The vector leg against sums of whole numbers, which no order of adding can change."""
+    return q_vector(spark, sf)
+
+
 @query("hybrid_leg", f"""
 WITH {S.INDEX}, {QUESTIONS}, {TFIDF},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY score DESC, id) AS rank FROM tfidf)

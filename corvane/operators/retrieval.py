@@ -151,7 +151,8 @@ def vector_leg(docs: DataFrame, queries: DataFrame, embed, k: int = MAX_CANDIDAT
     """Nearest chunks of both corpora: ``(qid, id, pos, retrieval_vector, reason)``."""
     content = F.array_join(X.search_tokens(F.col("query")), " ")
     asked = queries.select("qid", embed(F.when(content != "", content).otherwise(F.col("query"))).alias("vector"))
-    found = neighbours.nearest(docs.select("id", "vector"), asked, k, MIN_VECTOR_SCORE)
+    # the embeddings are rounded to six decimals
+    found = neighbours.nearest(docs.select("id", "vector"), asked, k, MIN_VECTOR_SCORE, decimals=6)
     return found.select(
         "qid", "id", F.col("rank").alias("pos"), F.col("score").alias("retrieval_vector"),
         F.lit("vector_candidate").alias("reason"),
