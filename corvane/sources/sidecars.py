@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def read_sidecars(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """``(path, metadata, checksum, digest, readable)`` of every sidecar file below ``root``."""
+    """``(path, metadata, checksum, digest, readable)`` of every sidecar file below ``root``.
+
+    Spark lists no empty files, so an empty sidecar is like none.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     return parse_sidecars(files.select("path", F.decode("content", "UTF-8").alias("content")))
 
