@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corvane.catalog import answers as A
 from corvane.catalog import quality as Q
@@ -14,9 +15,10 @@ from corvane.catalog.corpus import QUESTIONS, TFIDF, index_rows, questions
 from corvane.catalog.crawling import _KEPT, POLICY, pages
 from corvane.catalog.documents import TOPIC_SQL
 from corvane.catalog.registry import query, table
+from corvane.functions import leadership as L
 from corvane.functions import text as X
 from corvane.functions.vectors import digest_chain_embedding, fit_dimensions, hashed_tokens_embedding
-from corvane.operators import crawl, metrics
+from corvane.operators import confidence, crawl, metrics, retrieval
 from corvane.plans import ask, index, ingest, maintenance
 from corvane.session import run_dir, through_table
 from corvane.sources import files, sidecars
@@ -98,6 +100,60 @@ def q_sources(spark, sf):
     return found.select("qid", "rank", "id", "path", "combined")
 
 
+@query("model_reranked", f"""
+{A.CHAIN}, {A.RERANK},
+m AS (SELECT qid, id, (length(id) % 5) / 4.0 AS ms, row_number() OVER (PARTITION BY qid ORDER BY length(id) % 5 DESC, id) AS mr FROM reranked WHERE length(id) % 2 = 0),
+j AS (SELECT r.* EXCLUDE (combined), ms, mr, CASE WHEN ms IS NOT NULL THEN round(ms + 0.05::DOUBLE * citation + 0.02::DOUBLE * CASE WHEN updated_at <> '' THEN 0.05 ELSE 0 END, 6) ELSE combined END AS combined
+  FROM reranked r LEFT JOIN m USING (qid, id))
+SELECT qid, id, (row_number() OVER (PARTITION BY qid ORDER BY ms IS NULL, mr, {A.ORDER}))::INTEGER AS place, combined::DOUBLE AS combined, ms IS NOT NULL AS by_model FROM j""")
+def q_model(spark, sf):
+    """Candidates put in the order of a model that knows half of them."""
+    rows = through_table(A._reranked(spark, sf), "reranked")
+    value = F.length("id") % 5
+    first = Window.partitionBy("qid").orderBy(value.desc(), "id")
+    model = rows.filter(F.length("id") % 2 == 0).select("qid", "id", (value / 4.0).alias("model_score"), F.row_number().over(first).alias("model_rank"))
+    merged = retrieval.merge_model_scores(rows, model)
+    return merged.select("qid", "id", "place", "combined", (F.get("ranking_reasons", F.lit(0)) == "model_rerank").alias("by_model"))
+
+
+_PERSON_SQL = L.PERSON_FIRST.replace(r"(?<!Associate\s)", "").replace("'", "''")
+_OFFICE_SQL = L.OFFICE_FIRST.replace(r"(?<!Associate\s)", "").replace("'", "''")
+_NEXT_SQL = L.NEXT_PERSON.replace("'", "''")
+
+
+def _holder(pattern: str, name: int, office: int, role: int, joiner: str) -> str:
+    part = lambda group: f"trim(regexp_extract(hay, '(?i){pattern}', {group}))"
+    return (
+        f"{{'name': {part(name)}, 'office': {part(office)}, 'joiner': '{joiner}', "
+        f"'role': trim(regexp_split_to_array({part(role)}, '{_NEXT_SQL}')[1], ' ,;:-')}}")
+
+
+def _usable(m: str) -> str:
+    return f"{m}.name <> '' AND len(regexp_split_to_array({m}.name, '\\s+')) >= 2 AND length({m}.role) >= 8"
+
+
+@query("office_holders", rf"""
+WITH e AS (SELECT c_nationkey AS qid, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rank, CASE c_custkey % 5
+   WHEN 0 THEN 'Open day for all' WHEN 1 THEN 'Meet our alumni networking group, Ann B. Lee, Director of Events and Fairs.' WHEN 2 THEN 'Ann B. Lee, Dean of Arts.'
+   WHEN 3 THEN 'Jo ' || c_mktsegment || ' Roe, Ph.D., Program Director of ' || lower(c_mktsegment) || ' studies Max Q. Poe, Ph.D. and others.' ELSE 'Mia C. Tan - Head of the ' || c_mktsegment || ' laboratory; more' END AS snippet FROM customer),
+h AS (SELECT *, 'People' || chr(10) || snippet AS hay FROM e WHERE rank <= 8),
+f AS (SELECT *, {_holder(_PERSON_SQL, 1, 2, 3, ' is ')} AS one, {_holder(_OFFICE_SQL, 3, 1, 2, ' — ')} AS two FROM h WHERE NOT regexp_matches(hay, '(?i){L.SOCIAL_EVENT}')),
+g AS (SELECT qid, rank, c_custkey, CASE WHEN {_usable('one')} THEN one WHEN {_usable('two')} THEN two END AS m FROM f)
+SELECT qid, m.name, m.role, m.office, m.name || m.joiner || m.office || ' of ' || m.role || '.' AS answer, 'c' || c_custkey AS source_id
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM g WHERE m IS NOT NULL) WHERE n = 1""")
+def q_holders(spark, sf):
+    """The first of eight evidence rows of a question that names who holds an office."""
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    snippet = (
+        F.when(k % 5 == 0, "Open day for all").when(k % 5 == 1, "Meet our alumni networking group, Ann B. Lee, Director of Events and Fairs.").when(k % 5 == 2, "Ann B. Lee, Dean of Arts.")
+        .when(k % 5 == 3, F.concat(F.lit("Jo "), segment, F.lit(" Roe, Ph.D., Program Director of "), F.lower(segment), F.lit(" studies Max Q. Poe, Ph.D. and others.")))
+        .otherwise(F.concat(F.lit("Mia C. Tan - Head of the "), segment, F.lit(" laboratory; more"))))
+    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    evidence = table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("qid"), rank.alias("rank"), F.lit("People").alias("title"), snippet.alias("snippet"), F.lit("p").alias("path"), F.concat(F.lit("c"), k).alias("source_id"))
+    return confidence.office_holder(evidence).select("qid", "holder.name", "holder.role", "holder.office", "holder.answer", "holder.source_id")
+
+
 # ---------------------------------------------------------------- files and registry
 @query("markdown_tree", """
 SELECT source || '/' || doc_id || '.md' AS path, length(text) AS chars, sha256(text) AS checksum, octet_length(encode(text))::BIGINT AS size_bytes FROM documents""")

@@ -243,7 +243,12 @@ def q_missing(spark, sf):
     return lineage.missing_citations(_wiki_files(spark, sf))
 
 
-@query("lint_contradictions")
+@query("lint_contradictions", """
+WITH p AS (SELECT doc_id AS k, '---' || chr(10) || 'title: T ' || doc_id || chr(10) || 'source_ids:' || chr(10) || '  - raw_' || doc_id || chr(10) || '  - raw_' || (doc_id + 1)
+   || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || 'source_paths:' || chr(10) || '  - raw_sources/a.md' END || chr(10) || '---' || chr(10) || chr(10) || text || chr(10) AS before
+  FROM documents WHERE doc_id % 4 = 0 AND doc_id % 5 <> 0)
+SELECT 'raw_' || CASE WHEN k % 6 = 0 THEN k + 1 ELSE k END AS source_id, printf('wiki/pages/%09d.md', k) AS path,
+  (length(before) - length(replace(before, chr(10), '')) + 1)::INTEGER AS line_number, 'Contradiction: one of both' AS reason FROM p""")
 def q_contradictions(spark, sf):
     queued = table(spark, sf, "documents", "doc_id").filter("doc_id % 6 = 0").select(
         F.concat(F.lit("raw_"), "doc_id").alias("source_id"))

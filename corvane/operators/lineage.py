@@ -135,13 +135,14 @@ def review_items(queue: DataFrame) -> DataFrame:
         F.coalesce("heading", F.lit("")).alias("heading"))
 
 
-def contradictions(pages: DataFrame, queued: DataFrame) -> DataFrame:
+def contradictions(pages: DataFrame, queued: DataFrame, rounds: int = 1000) -> DataFrame:
     """Contradiction items of pages ``(path, text)`` for sources not queued yet.
 
     Pages speak in path order, each for its first source id that neither the queue nor an
     earlier page has. All pages propose at once; a source keeps its earliest proposer
     and the others move to their next id, until nobody is turned away. As all sources
-    prefer earlier paths, this ends in the same items as walking the pages one by one.
+    prefer earlier paths, this ends in the same items as walking the pages one by one. It takes
+    as many rounds as pages compete for one list of sources; more than ``rounds`` raise.
     """
     hit = F.filter(
         F.transform(X.split_lines(F.col("text")), lambda v, i: F.struct((i + 1).alias("line_number"), X.strip(v).alias("reason"))),
@@ -152,7 +153,7 @@ def contradictions(pages: DataFrame, queued: DataFrame) -> DataFrame:
     ranked = wishes.withColumn("wish", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).drop("pos")
     wishes = through_table(ranked, "wishes")
     turn = wishes.select("path").distinct().withColumn("wish", F.lit(1))
-    while True:
+    for _ in range(rounds):
         asking = wishes.join(turn, ["path", "wish"])
         kept = asking.groupBy("source_id").agg(F.min("path").alias("path"))
         turned_away = asking.join(kept, ["source_id", "path"], "left_anti").select("path", "wish")
@@ -161,3 +162,4 @@ def contradictions(pages: DataFrame, queued: DataFrame) -> DataFrame:
         moved = turned_away.withColumn("next", F.col("wish") + 1).drop("wish")
         turn = through_table(
             turn.join(moved, "path", "left").select("path", F.coalesce("next", "wish").cast("int").alias("wish")), "turns")
+    raise RuntimeError(f"sources are not dealt out after {rounds} rounds")
