@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.catalog.registry import query, table
-from corvane.session import run_dir
+from corvane.session import run_dir, through_table
 from corvane.sources import files
 
 EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType())])
@@ -29,11 +29,31 @@ def q_states(spark, sf):
     """An append log of page states, compacted to the last line of each url."""
     path = run_dir(spark, "states")
     e = table(spark, sf, "events").select(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_type").alias("status"), "event_id")
-    e.coalesce(1).sortWithinPartitions("event_id").select("url", "status").write.json(path)
+    # files in the order of the events, written by many tasks
+    e.repartitionByRange("event_id").sortWithinPartitions("event_id").select("url", "status").write.json(path)
     schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("status", T.StringType())])
     return files.read_page_states(spark, path, schema)
 
 
+@query("stored_keyed_log", """
+WITH e AS (SELECT 'u' || user_id AS url, event_type AS status, event_id FROM events WHERE event_id % 13 <> 0)
+SELECT url, status FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY event_id DESC) AS n FROM e) WHERE n = 1""")
+def q_keyed_log(spark, sf):
+    """The same with several lines of every url in a file of many blocks, broken and blank lines between."""
+    path = run_dir(spark, "keyed-log")
+    e = table(spark, sf, "events")
+    good = F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("url"), F.col("event_type").alias("status")))
+    line = F.when(F.col("event_id") % 13 == 0, F.concat(F.lit('{"url": "u'), "user_id", F.lit('", "sta'))).when(F.col("event_id") % 17 == 0, F.concat(good, F.lit("\n\n[1]"))).otherwise(good)
+    e.select("event_id", line.alias("value")).repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("status", T.StringType())])
+    setting, usual = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(setting, 16_384)
+        return through_table(files.read_page_states(spark, path, schema), "states")
+    finally:
+        spark.conf.set(setting, usual)
+
+
 @query("stored_registry", """
 SELECT 'raw_' || doc_id AS source_id, 'web' AS source_kind, source || ' ' || lang AS title, sha256(text) AS checksum FROM documents""")
 def q_registry(spark, sf):

@@ -34,13 +34,13 @@ def read_jsonl_checked(spark: SparkSession, path, schema: T.StructType) -> DataF
 
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
-    """``(path, line_no, value)`` of text files, lines in file order.
+    """``(path, pos, value)`` of text files; ``pos`` (block of the file, line in it) orders the lines of a file.
 
-    Each file is one row first, so the line number is exact; for append logs, which are
-    many moderate files.
+    Files are split, so a log of any size is read by many tasks.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "value"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("line")).alias("pos"), "value")
     return lines.filter(F.btrim("value", F.lit(SPACE_CHARS)) != "")
 
 
@@ -49,9 +49,9 @@ def read_keyed_log(spark: SparkSession, path, schema: T.StructType, key: str) ->
     lines = read_lines(spark, path)
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = lines.withColumn("row", F.from_json("value", full, {"columnNameOfCorruptRecord": CORRUPT}))
-    corrupt = parsed.filter(F.col(f"row.{CORRUPT}").isNotNull()).select("path", "line_no", "value")
+    corrupt = parsed.filter(F.col(f"row.{CORRUPT}").isNotNull()).select("path", "pos", "value")
     rows = parsed.filter(F.col(f"row.{CORRUPT}").isNull() & (F.coalesce(F.col(f"row.{key}"), F.lit("")) != "")).select(
-        F.struct("path", "line_no").alias("_seq"), "row.*").drop(CORRUPT)
+        F.struct("path", "pos").alias("_seq"), "row.*").drop(CORRUPT)
     return latest_per_key(rows, [key], "_seq").drop("_seq"), corrupt
 
 
