@@ -94,11 +94,14 @@ class IndexTable:
     A batch writes one version with the rows of the documents it touches and a marker for
     each of them, so a shortened document loses its last rows and a removed one all of them;
     documents it does not touch are not written again. Versions are numbered on from what is
-    committed. The token of a batch tells a retry, which overwrites its own version.
+    committed. The token of a batch tells a retry, which overwrites its own version. After
+    ``most_open`` versions a base version with all live rows is written, and reads begin there.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "doc_id") -> None:
-        self.spark, self.root, self.schema, self.key = spark, root, schema, key
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "doc_id", most_open: int = 16) -> None:
+        self.spark, self.root, self.schema, self.key, self.most_open = spark, root, schema, key, most_open
+
+    BASE = "base"
 
     def versions(self) -> list[tuple[int, str]]:
         """Committed ``(version, token)`` in order."""
@@ -115,11 +118,24 @@ class IndexTable:
     def _path(self, version: int, token: str) -> str:
         return os.path.join(self.root, f"version={version}-{token}")
 
+    def open_versions(self) -> list[tuple[int, str]]:
+        """The last base and the versions after it: what a read touches."""
+        done = self.versions()
+        bases = [i for i, (_, token) in enumerate(done) if token == self.BASE]
+        return done[bases[-1]:] if bases else done
+
+    def compact(self) -> None:
+        """Write all live rows as a base; the versions before it are read no more."""
+        done = self.versions()
+        if done and done[-1][1] != self.BASE:
+            rows = self.read()
+            rows.select(F.col(self.key).alias("_key"), F.struct(*rows.columns).alias("_row")).write.mode("overwrite").parquet(self._path(done[-1][0] + 1, self.BASE))
+
     def read(self) -> DataFrame:
         """Rows of every document's newest version."""
         empty = self.spark.createDataFrame([], self.schema)
         kept = f"_key {empty.schema[self.key].dataType.simpleString()}, _row struct<{self.schema}>"
-        logs = [self.spark.read.schema(kept).parquet(self._path(v, t)).withColumn("_version", F.lit(v)) for v, t in self.versions()]
+        logs = [self.spark.read.schema(kept).parquet(self._path(v, t)).withColumn("_version", F.lit(v)) for v, t in self.open_versions()]
         if not logs:
             return empty
         log = union_all(logs)
@@ -135,6 +151,8 @@ class IndexTable:
         kept = rows.select(F.col(self.key).alias("_key"), F.struct(*columns).alias("_row"))
         markers = touched.select(F.col(self.key).alias("_key")).distinct().withColumn("_row", F.lit(None).cast(kept.schema["_row"].dataType))
         kept.unionByName(markers).write.mode("overwrite").parquet(self._path(version, token))
+        if not known and len(self.open_versions()) > self.most_open:
+            self.compact()
 
 
 def changed_digests(snapshots: DataFrame, key: str, seq: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.catalog import streams
-from corvane.streaming import keyed, tail
+from corvane.streaming import jobs, keyed, tail
 from tests.conftest import SF
 
 EVENT = "event_id bigint, what string"
@@ -116,3 +116,19 @@ def test_asks_wait_for_their_outcome(spark, tmp_path):
 @pytest.mark.parametrize("name", ["q_budget", "q_guard", "q_settled", "q_tail"])
 def test_stream_queries_have_rows(spark, name):
     assert getattr(streams, name)(spark, SF).count() > 0 and os.path.exists(SF)
+
+
+def test_index_log_is_folded_into_a_base(spark, tmp_path):
+    table = jobs.IndexTable(spark, str(tmp_path / "t"), "doc_id bigint, text string", most_open=3)
+    want = {}
+    for n in range(8):
+        rows = spark.createDataFrame([(n % 3, f"v{n}"), (100 + n, "x")], "doc_id bigint, text string")
+        gone = spark.createDataFrame([(99 + n,)], "doc_id bigint")
+        table.replace(rows, rows.select("doc_id").unionByName(gone), f"b{n}")
+        want.update({n % 3: f"v{n}", 100 + n: "x"})
+        want.pop(99 + n, None)
+        assert len(table.open_versions()) <= 4
+        assert {r["doc_id"]: r["text"] for r in table.read().collect()} == want
+    table.replace(rows, rows.select("doc_id").unionByName(gone), "b7")  # a retry
+    table.compact()
+    assert len(table.open_versions()) == 1 and {r["doc_id"]: r["text"] for r in table.read().collect()} == want
