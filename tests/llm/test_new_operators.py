@@ -186,7 +186,9 @@ def test_collocations_equal_brute_force(spark, part_phrases, least, top):
 
 def test_collocations_of_blocks_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", 50)
+    long = "y" * 100
     rows = [("en", "one two three " * 40), ("en", "two three"), ("de", "one two " * 9), ("de", "one two")] + [("en", "word " * 60_000)]
+    rows += [("fr", f"{long} z {long}é. " * 12), ("a\0b", "c d " * 11), ("a", "b\0c d " * 11)]
     table = spark.createDataFrame(rows, "lang string, text string").coalesce(2)
     got = collocations.collocations(table).collect()
     assert sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in got) == brute_collocations(rows, 10, 2000)
