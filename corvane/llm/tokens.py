@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,3 +73,11 @@ class Words:
         offsets = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=offsets[1:])
         return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(self.flat[self._inside]))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays between tasks, and what it holds is lost to the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
