@@ -196,6 +196,16 @@ def test_collocations_of_blocks_and_long_texts(spark, monkeypatch):
     assert collocations.collocations(docs(spark, ODD)).filter("lang = 'en'").select("phrase").collect()[0][0] == "word word word"
 
 
+def test_collocations_of_words_that_begin_others(spark):
+    random.seed(5)
+    words = ["a", "ab", "abc", "b", "bc", "x" * 64, "x" * 65]
+    rows = [(random.choice(["e", "en", None]), "".join(random.choice(words) + random.choice([" ", " ", "\t", ", "]) for _ in range(60))) for _ in range(25)]
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    # words and phrases lie in several tries, some in one and their beginnings in another
+    got = collocations.collocations(table, least=4, part_phrases=20).collect()
+    assert sorted((r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in got) == brute_collocations(rows, 4, 2000)
+
+
 def test_score_is_exact_past_64_bits(spark):
     a = 3_037_000_501
     row = spark.sql(f"SELECT {a}L AS a, {a + 1}L AS l1, {a + 2}L AS r1").selectExpr(collocations.SCORE.format(k=1) + " AS s").first()
