@@ -93,6 +93,28 @@ def test_top_candidates_tie_by_id(docs, queries):
     assert [r["id"] for r in top] == ["d2"]
 
 
+def test_neighbours_of_large_shards_hold_tiles_of_scores(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    few = rng.normal(size=(60, 8)).round(1)
+    docs, queries = few[rng.integers(0, 60, 9000)], few[rng.integers(0, 60, 2000)]
+    tracemalloc.start()
+    q, d, s = neighbours._best(queries, docs, 5, 0.05)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all scores at once are 144 MB, and ordering them takes as much again
+    assert peak < 120_000_000
+    scores = np.maximum(np.round(queries @ docs.T, 9), 0.0)
+    for row in range(0, 2000, 37):
+        want = [i for i in np.argsort(-scores[row], kind="stable")[:5] if scores[row, i] >= 0.05]
+        assert d[q == row].tolist() == want and s[q == row].tolist() == scores[row, want].tolist()
+    table = spark.createDataFrame([(i, few[i % 60].tolist()) for i in range(900)], "id long, vector array<double>")
+    asked = table.select(F.col("id").alias("qid"), "vector")
+    rows = lambda **limits: sorted(map(tuple, neighbours.nearest(table, asked, 5, 0.05, **limits).collect()))
+    assert rows(max_queries=10, shard_cells=2400) == rows(max_queries=10) == rows()
+
+
 def test_neighbours_all_paths_agree(spark):
     rng = np.random.default_rng(3)
     d = rng.normal(size=(60, 8))
