@@ -234,3 +234,20 @@ def test_stored_postings_give_the_same_best(spark, tmp_path):
     assert rows(index.bm25_top(queries, 5, "wiki")) == rows(ranking.bm25_top(wiki, queries, 5))
     plan = stored._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(term" in plan and "text#" not in plan
+
+
+def test_stored_postings_make_no_row_for_each_pair(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i:03}", "raw" if i % 3 else "wiki", "t", f"common w{i % 7} " * (1 + i % 4)) for i in range(60)] + [("none", "raw", "t", "--")],
+                                 "id string, corpus string, title string, text string")
+    queries = relational.constants(spark, [(i, f"common w{i % 9} common") for i in range(30)], "qid, query")
+    lexical.write_postings(docs, str(tmp_path / "index"))
+    index = lexical.StoredPostings(spark, str(tmp_path / "index"))
+    classes = docs.select("id", F.col("corpus").alias("class"))
+    rows = lambda df, by: sorted((r["qid"], r[by], r["id"], round(r["score"], 6), r["rank"]) for r in df.collect())
+    found = {"tfidf": index.tfidf_top(queries, 4), "bm25": index.bm25_top(queries, 4, classes=classes)}
+    assert rows(found["tfidf"], "corpus") == rows(ranking.tfidf_top(docs, queries, 4), "corpus")
+    assert rows(found["bm25"], "class") == rows(ranking.bm25_top(docs.withColumn("class", F.col("corpus")), queries, 4, by=("class",)), "class")
+    for top in found.values():  # scored in blocks, not joined and summed by question and chunk
+        plan = top._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Aggregate [qid" not in plan
+    assert index.bm25_top(queries.limit(0), 4).count() == index.tfidf_top(queries.limit(0), 4).count() == 0
