@@ -251,3 +251,18 @@ def test_stored_postings_make_no_row_for_each_pair(spark, tmp_path):
         plan = top._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "Aggregate [qid" not in plan
     assert index.bm25_top(queries.limit(0), 4).count() == index.tfidf_top(queries.limit(0), 4).count() == 0
+
+
+def test_stored_terms_are_counted_where_they_are_read(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [("a", "raw", "The Sun", "sun, SUN and moon"), ("b", "raw", None, "the of"), ("c", "wiki", "x", "")], "id string, corpus string, title string, text string")
+    plan = lexical.counted_terms(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan
+    root = str(tmp_path / "terms")
+    lexical.write_postings(docs, root)
+    plain = {(r["corpus"], r["id"], r["term"], r["tf"]) for r in spark.read.parquet(f"{root}/plain_postings").collect()}
+    assert plain == {(r["corpus"], r["id"], r["term"], r["tf"]) for r in ranking.build_postings(docs).collect()}
+    content = {(r["id"], r["dl"], r["term"], r["tf"]) for r in spark.read.parquet(f"{root}/content_postings").collect()}
+    assert content == {("a", 4, "sun", 3), ("a", 4, "moon", 1), ("c", 1, "x", 1)}
+    sizes = {r["corpus"]: (r["n_docs"], r["n_filled"], r["n_tokens"]) for r in spark.read.parquet(f"{root}/content_sizes").collect()}
+    assert sizes == {"raw": (2, 1, 4), "wiki": (1, 1, 1)}
