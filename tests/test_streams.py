@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.catalog import streams
@@ -132,3 +133,49 @@ def test_index_log_is_folded_into_a_base(spark, tmp_path):
     table.replace(rows, rows.select("doc_id").unionByName(gone), "b7")  # a retry
     table.compact()
     assert len(table.open_versions()) == 1 and {r["doc_id"]: r["text"] for r in table.read().collect()} == want
+
+
+class _Handle:
+    """What a processor sees of Spark: one value and its timers."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_one_timer_for_what_is_left_open():
+    budget, handle = keyed.BudgetProcessor("k", 2, 10), _Handle()
+    budget.init(handle)
+    out = pd.concat(budget.handleInputRows((1,), iter([pd.DataFrame({"second": [0, 5, 20, 40, 41, 42]})]), None))
+    assert out["window_start"].tolist() == [0, 20, 40] and out["denied"].tolist() == [0, 0, 1]
+    assert handle.timers == [51_000] and handle.value == (40, 3)
+    list(budget.handleInputRows((1,), iter([pd.DataFrame({"second": [43]})]), None))
+    assert handle.timers == [51_000] and handle.value == (40, 4)
+    at = lambda ms: type("Info", (), {"getExpiryTimeInMs": lambda self: ms})()
+    assert not list(budget.handleExpiredTimer((1,), None, at(11_000))) and handle.value == (40, 4)
+    assert not list(budget.handleExpiredTimer((1,), None, at(51_000))) and handle.value is None
+
+    guard, handle = keyed.GuardProcessor(("k", "n", "event"), 10), _Handle()
+    guard.init(handle)
+    rows = pd.DataFrame({"second": [0.0, 30.0, 60.0], "n": [1, 2, 3], "event": ["ask"] * 3})
+    out = pd.concat(guard.handleInputRows((1,), iter([rows]), None))
+    assert out["outcome"].tolist() == ["started"] * 3 and handle.timers == [71_000]
+    assert not list(guard.handleExpiredTimer((1,), None, at(11_000))) and handle.value is not None
+    assert not list(guard.handleExpiredTimer((1,), None, at(71_000))) and handle.value is None
