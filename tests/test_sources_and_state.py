@@ -289,3 +289,18 @@ def test_site_resolution(spark):
                                   "rid int, site_id string, hint string")
     got = {r["rid"]: (r["resolved"], r["error"]) for r in state.resolve_sites(asked, sites).collect()}
     assert got == {1: ("x.edu", ""), 2: (None, "site_not_found"), 3: ("x.edu", ""), 4: (None, "ambiguous_university"), 5: ("x.edu", ""), 6: ("x.edu", "")}
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from corvane.session import configure
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("text"))
+    configure(spark)
+    found = [r["n"] for r in rows.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) >= 20_000_000 and max(found) < 6_000_000
