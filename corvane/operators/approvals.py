@@ -4,7 +4,8 @@ A message names URLs, ``path:`` groups and words; words reach a URL's group when
 address or title. All messages' words form one automaton that runs over the addresses where they are
 read, so an address is scanned once, whatever the number of messages. Only the first ``most`` groups
 of a word and the first ``most`` rows of a group can be among the first ``most`` rows of a message,
-which bounds what the joins between messages, words, groups and rows produce.
+and of these only as many as the message asks for, which bounds what the joins between messages,
+words, groups and rows produce.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.functions import urls as U
 from corvane.functions.text import text_or_empty
@@ -112,6 +114,15 @@ def term_groups(rows: DataFrame, terms: DataFrame, part_words: int = PART_WORDS)
     return spark.createDataFrame([], "grp string, term string") if found is None else found
 
 
+def _lists(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``(key, list)``: the rows of each key as one list in the order of ``columns``."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("list"))
+
+
+def _first(name: str, n: Column) -> Column:
+    return F.slice(name, F.lit(1), F.greatest(n, F.lit(0)))
+
+
 def approval_candidates(messages: DataFrame, discovered: DataFrame, limit: int = LIMIT, most: int = MOST) -> DataFrame:
     """``(msg_id, place, url, reason)``: the URLs that each of ``messages (msg_id, message)`` asks for.
 
@@ -121,44 +132,59 @@ def approval_candidates(messages: DataFrame, discovered: DataFrame, limit: int =
     number the message asks for (``limit`` if none, ``most`` at most). Rows an operator rejected and
     rows the policy refuses are passed over.
     """
-    first = first_per_key(discovered.filter(F.coalesce("url", F.lit("")) != ""), ["url"], [F.col("pos")])
-    rows = through_table(first.withColumn("title", text_or_empty(F.col("title"))).withColumn("grp", U.group_key(F.col("url"))), "discovered")
+    u = F.col("url")
+    wide = discovered.filter(F.coalesce(u, F.lit("")) != "").select("pos", "url", text_or_empty(F.col("title")).alias("title"), U.group_key(u).alias("grp"), "excluded_reason")
+    # the policy is asked once for an address, where the addresses are read
+    judged = crawl.with_policy(wide, title="title").withColumn("open", F.col("selected") & (F.coalesce("excluded_reason", F.lit("")) != "operator_rejected_area"))
+    # an own number of parts, so that a short table is not one task for those who read it
+    dealt = judged.select("pos", "url", "title", "grp", "open").repartition(discovered.sparkSession.sparkContext.defaultParallelism, "url")
+    rows = through_table(first_per_key(dealt, ["url"], [F.col("pos")]), "discovered")
     said = messages.select("msg_id", text_or_empty(F.col("message")).alias("message"))
-    terms = message_terms(F.col("message"))
-    asked = through_table(said.select(
-        "msg_id", terms.alias("terms"), term_roots(terms).alias("roots"), crawl.message_urls(F.col("message")).alias("urls"), crawl.message_subpaths(F.col("message")).alias("subpaths"),
+    # the terms are a column of their own before the roots look at them several times
+    worded = said.withColumn("terms", message_terms(F.col("message")))
+    asked = through_table(worded.select(
+        "msg_id", "terms", term_roots(F.col("terms")).alias("roots"), crawl.message_urls(F.col("message")).alias("urls"), crawl.message_subpaths(F.col("message")).alias("subpaths"),
         F.least(F.coalesce(crawl.select_limit(F.col("message")), F.lit(limit)), F.lit(most)).alias("size")), "messages")
 
     # explicit addresses that are not among the discovered ones
-    explicit = asked.select("msg_id", F.posexplode("urls").alias("at", "url")).join(rows.select("url"), "url", "left_anti")
-    explicit = crawl.with_policy(explicit).filter("selected").select("msg_id", F.lit(0).alias("side"), F.col("at").cast("bigint").alias("pos"), "url", F.lit("explicit_url").alias("reason"))
+    new = crawl.with_policy(asked.select("msg_id", F.posexplode("urls").alias("at", "url"))).filter("selected").select("msg_id", "at", "url")
+    # through a table, as the planner would ask the policy again for all discovered addresses
+    explicit = through_table(new, "explicit").join(rows.select("url"), "url", "left_anti").select(
+        "msg_id", F.lit(0).alias("side"), F.col("at").cast("bigint").alias("pos"), "url", F.lit("explicit_url").alias("reason"))
 
-    # rows that can be taken, in order, at most ``most`` of each group and of all
-    plain = rows.filter(F.coalesce("excluded_reason", F.lit("")) != "operator_rejected_area").drop("excluded_reason", "selected")
-    taken = crawl.with_policy(plain, title="title").filter("selected").select("grp", "pos", "url")
-    by_group = through_table(top_k(taken, ["grp"], [F.col("pos")], most, "_n").drop("_n"), "first-rows")
-    anywhere = taken.orderBy("pos").limit(most).select(F.lit("*").alias("grp"), "pos", "url", F.concat(F.lit("subpath:"), "grp").alias("reason"))
-    starts = by_group.groupBy("grp").agg(F.min("pos").alias("start"))
+    # rows that can be taken, in order, at most ``most`` of each group and of all; a message takes its first ones of each list
+    taken = rows.filter("open").select("grp", "pos", "url")
+    by_group = through_table(_lists(top_k(taken, ["grp"], [F.col("pos")], most, "_n"), "grp", "pos", "url"), "first-rows")
+    anywhere = _lists(taken.orderBy("pos").limit(most).withColumn("all", F.lit("*")), "all", "pos", "url", "grp")
+    starts = by_group.select("grp", F.element_at("list", 1)["pos"].alias("start"))
 
     # groups a message matches by its words; those without a row to take count as matched, too
     hay = F.lower(F.concat_ws("\n", "url", "title")).alias("hay")
-    wordy = asked.filter(F.size("roots") == 0).select("msg_id", F.explode("terms").alias("term"))
+    wordy = asked.filter(F.size("roots") == 0).select("msg_id", "size", F.explode("terms").alias("term"))
     hits = term_groups(rows.select("grp", hay), wordy)
     # groups without rows to take come last, and only tell that something matched
     placed = hits.join(starts, "grp", "left").withColumn("start", F.coalesce("start", F.lit(2**62)))
-    per_term = top_k(placed, ["term"], [F.col("start"), F.col("grp")], most, "_n").drop("_n")
-    named = asked.select("msg_id", F.explode(F.array_distinct(F.concat(
+    per_term = _lists(top_k(placed, ["term"], [F.col("start"), F.col("grp")], most, "_n"), "term", "start", "grp")
+    named = asked.select("msg_id", "size", F.explode(F.array_distinct(F.concat(
         F.transform("urls", lambda u: U.group_key(u)), F.col("subpaths"), F.transform("roots", lambda r: F.concat(F.lit("/"), r))))).alias("grp"))
-    matched = wordy.join(per_term.select("term", "grp", "start"), "term").select("msg_id", "grp", "start").unionByName(
-        named.join(starts, "grp", "left").select("msg_id", "grp", F.coalesce("start", F.lit(2**62)).alias("start"))).distinct()
-    groups = through_table(top_k(matched, ["msg_id"], [F.col("start"), F.col("grp")], most, "_n").drop("_n"), "message-groups")
+    # every group before another one has a row before it, so as many groups as rows are asked for are enough
+    matched = wordy.join(per_term, "term").select("msg_id", "size", F.inline(_first("list", F.col("size")))).unionByName(
+        named.join(starts, "grp", "left").select("msg_id", "size", F.coalesce("start", F.lit(2**62)).alias("start"), "grp")).distinct()
+    groups = top_k(matched, ["msg_id"], [F.col("start"), F.col("grp")], most, "_n").filter(F.col("_n") <= F.greatest("size", F.lit(1)))
+    groups = through_table(groups.select("msg_id", "size", "grp", "_n"), "message-groups")
     # no terms at all match every group
     free = asked.filter(((F.size("terms") == 0) & (F.size("roots") == 0)))
-    every = free.select("msg_id").unionByName(asked.select("msg_id").join(groups.select("msg_id"), "msg_id", "left_anti")).distinct()
-    narrow = groups.join(every, "msg_id", "left_anti").join(by_group, "grp").select("msg_id", "pos", "url", F.concat(F.lit("subpath:"), "grp").alias("reason"))
+    every = free.select("msg_id", "size").unionByName(asked.select("msg_id", "size").join(groups.select("msg_id"), "msg_id", "left_anti")).distinct()
+    reason = F.concat(F.lit("subpath:"), "grp").alias("reason")
+    # the n-th group's rows follow n - 1 others
+    narrow = groups.join(every.select("msg_id"), "msg_id", "left_anti").join(by_group, "grp").select(
+        "msg_id", "size", F.inline(_first("list", F.col("size") - F.col("_n") + 1)), reason)
+    narrow = top_k(narrow, ["msg_id"], [F.col("pos")], most, "_n").filter(F.col("_n") <= F.col("size")).drop("_n")
     # one pseudo-group of at most ``most`` rows
-    broad = every.withColumn("grp", F.lit("*")).join(anywhere, "grp").select("msg_id", "pos", "url", "reason")
-    found = top_k(narrow.unionByName(broad), ["msg_id"], [F.col("pos")], most, "_n").drop("_n").select("msg_id", F.lit(1).alias("side"), F.col("pos").cast("bigint").alias("pos"), "url", "reason")
-    listed = top_k(explicit.unionByName(found), ["msg_id"], [F.col("side"), F.col("pos")], 2 * most, "place")
+    broad = every.withColumn("all", F.lit("*")).join(F.broadcast(anywhere), "all").select("msg_id", "size", F.inline(_first("list", F.col("size"))))
+    found = narrow.unionByName(broad.select("msg_id", "size", "pos", "url", reason)).select(
+        "msg_id", F.lit(1).alias("side"), F.col("pos").cast("bigint").alias("pos"), "url", "reason", "size")
     # addresses named in a message are all kept; discovered ones only up to its number
-    return listed.join(asked.select("msg_id", "size"), "msg_id").filter((F.col("side") == 0) | (F.col("place") <= F.col("size"))).select("msg_id", "place", "url", "reason")
+    in_order = Window.partitionBy("msg_id").orderBy("side", "pos")
+    listed = explicit.withColumn("size", F.lit(0)).unionByName(found).withColumn("place", F.row_number().over(in_order))
+    return listed.filter((F.col("side") == 0) | (F.col("place") <= F.col("size"))).select("msg_id", "place", "url", "reason")

@@ -130,6 +130,20 @@ def test_approval_words_and_limits(spark, part_words, monkeypatch):
     assert got[4] == every and got[5] == every[:2] and got[6] == ["tuition"] and got[7] == every and got[8] == ["tuition"]
 
 
+def test_approval_lists_stop_at_the_number_asked(spark, monkeypatch):
+    stored = {}
+    keep = approvals.through_table
+    monkeypatch.setattr(approvals, "through_table", lambda df, label: stored.setdefault(label, keep(df, label)))
+    rows = spark.createDataFrame([(i, f"https://a.edu/housing/r{i}", "", None, None) for i in range(30)], "pos bigint, url string, title string, lastmod string, excluded_reason string")
+    new = " ".join(f"https://a.edu/new/n{i}" for i in range(1010))
+    said = spark.createDataFrame([(1, "top 2 housing"), (2, f"add {new}")], "msg_id bigint, message string")
+    got = {}
+    for r in approvals.approval_candidates(said, rows).orderBy("msg_id", "place").collect():
+        got.setdefault(r["msg_id"], []).append(r["url"])
+    assert got[1] == ["https://a.edu/housing/r0", "https://a.edu/housing/r1"]
+    assert got[2][:1010] == new.split(" ") and [r.msg_id for r in stored["message-groups"].collect()].count(1) == 2
+
+
 def test_message_terms(spark):
     said = [("approve Tuition and student-life pages", ["tuition", "bursar", "billing", "payment", "cost", "housing", "dining", "student-life", "health", "counseling", "parking", "orientation", "accessibility"]),
             ("scrape everything, do not include tuition", ["everything"]), ("", []), (None, [])]
