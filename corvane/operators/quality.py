@@ -10,6 +10,7 @@ from corvane.functions.text import (
     SPACE, bind, collapse_space, first_filled, split_lines, strip, text_or_empty, word_count,
 )
 from corvane.operators.relational import constants, seen_before, top_k
+from corvane.session import through_table
 
 ACTIONS = ("approved", "cleaned", "needs_review", "quarantined")
 
@@ -151,8 +152,10 @@ def summarize(records: DataFrame, pos: str, id_col: str = "source_id", examples:
     """Count and first ``examples`` ids of every action, zero-filled."""
     known = records.withColumn(
         "action", F.when(F.col("action").isin(*ACTIONS), F.col("action")).otherwise("needs_review"))
+    # counts and examples both read the actions, which cost a pass over the texts
+    known = through_table(known.select("action", id_col, F.col(pos).alias("_pos")), "actions")
     counts = known.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
-    first = top_k(known.select("action", id_col, pos), ["action"], [F.col(pos)], examples, "_r")
+    first = top_k(known, ["action"], [F.col("_pos")], examples, "_r")
     shown = first.groupBy("action").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", id_col))), lambda s: s[id_col]).alias("examples"))
     every = constants(records.sparkSession, [(a,) for a in ACTIONS], "action")

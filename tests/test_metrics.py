@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import metrics
+from corvane.operators import metrics, quality
 
 UTC = datetime.timezone.utc
 MEASURES = (
@@ -88,3 +88,17 @@ def test_breakdowns(spark):
     rows = spark.createDataFrame([event("r", total_tokens=5), event("r", input_tokens=7, stage="", model="m")], SCHEMA)
     got = {(r["dimension"], r["label"]): r["tokens"] for r in metrics.token_breakdowns(rows).collect()}
     assert got[("stage", "a")] == 5 and got[("stage", "unknown")] == 7 and got[("operation", "compile")] == 12
+
+
+def test_summary_reads_its_records_once(spark):
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def action(n):
+        looked.add(1)
+        return ("approved", "cleaned", "odd")[n % 3]
+
+    records = spark.range(9).select("id", F.concat(F.lit("s"), "id").alias("source_id"), action.asNondeterministic()("id").alias("action"))
+    got = {r["action"]: (r["n"], r["examples"]) for r in quality.summarize(records, "id", examples=2).collect()}
+    assert got == {"approved": (3, ["s0", "s3"]), "cleaned": (3, ["s1", "s4"]), "needs_review": (3, ["s2", "s5"]), "quarantined": (0, [])}
+    assert looked.value == 9
