@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -382,6 +383,22 @@ def next_pages(pages: DataFrame, queries: DataFrame, shown: DataFrame, limit: in
         "qid", "rank", "path", "title", "page_type", "why", "score")
 
 
+def token_rows(words: pa.ListArray, inside) -> tuple[np.ndarray, np.ndarray]:
+    """Row and token number of each query token inside a row's words; ``inside(word)`` is asked once for all rows."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(words.flatten())
+    if not len(coded):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of_word = [inside(w) for w in coded.dictionary.to_pylist()]
+    counts = np.array([len(o) for o in of_word])
+    codes, rows = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(words)), sizes)
+    hit = counts[codes] > 0
+    codes, rows = codes[hit], rows[hit]
+    n = counts[codes]
+    starts = (np.cumsum(counts) - counts)[codes] - (np.cumsum(n) - n)
+    return np.repeat(rows, n), np.concatenate(of_word)[np.repeat(starts, n) + np.arange(n.sum())]
+
+
 def _page_scores(rows: list, spark):
     """Scores of page blocks for the queries ``rows (qid, terms, wanted, shown)``."""
     terms = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["terms"]}))}
@@ -395,9 +412,9 @@ def _page_scores(rows: list, spark):
             hidden.setdefault(path, []).append(q)
     lengths = sorted({len(t) for t in terms})
     shared = spark.sparkContext.broadcast((terms, lengths, folders, by_term, by_folder, hidden))
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
 
-    def inside(word: str) -> list[int]:
+    def inside(word: str) -> np.ndarray:
         """Numbers of the query tokens that are substrings of a word."""
         got = known.get(word)
         if got is None:
@@ -405,16 +422,15 @@ def _page_scores(rows: list, spark):
             spans = {word[i : i + n] for n in lengths_ if n <= len(word) for i in range(len(word) - n + 1)}
             if len(known) >= 200_000:
                 known.clear()
-            got = known[word] = [terms_[s] for s in spans if s in terms_]
+            got = known[word] = np.array([terms_[s] for s in spans if s in terms_], np.int64)
         return got
 
     def score(batch, positions, key):
         terms_, _, folders_, by_term_, by_folder_, hidden_ = shared.value
         cut = batch.take(pa.array(positions))
         has, of = np.zeros((len(positions), len(terms_)), np.float32), np.zeros((len(positions), len(folders_)), np.float32)
-        for i, (words, own) in enumerate(zip(cut.column("words").to_pylist(), cut.column("folders").to_pylist())):
-            for word in words or []:
-                has[i, inside(word)] = 1
+        has[token_rows(cut.column("words"), inside)] = 1
+        for i, own in enumerate(cut.column("folders").to_pylist()):
             of[i, [folders_[f] for f in own or [] if f in folders_]] = 1
         points = has @ by_term_ + 8.0 * ((of @ by_folder_) > 0)
         total = points.astype(np.float64) + cut.column("base").to_numpy(zero_copy_only=False)[:, None]

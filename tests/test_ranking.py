@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,17 @@ def test_stored_terms_are_counted_where_they_are_read(spark, tmp_path):
     assert content == {("a", 4, "sun", 3), ("a", 4, "moon", 1), ("c", 1, "x", 1)}
     sizes = {r["corpus"]: (r["n_docs"], r["n_filled"], r["n_tokens"]) for r in spark.read.parquet(f"{root}/content_sizes").collect()}
     assert sizes == {"raw": (2, 1, 4), "wiki": (1, 1, 1)}
+
+
+def test_page_words_are_looked_up_once():
+    asked = []
+
+    def inside(word):
+        asked.append(word)
+        return np.array({"ab": [0, 2], "c": [1]}.get(word, []), np.int64)
+
+    words = pa.array([["ab", "c", "x"], [], None, ["x"], ["c", "ab"]], pa.list_(pa.string()))
+    for part, want in ((words, {(0, 0), (0, 2), (0, 1), (4, 1), (4, 0), (4, 2)}), (words.slice(3), {(1, 1), (1, 0), (1, 2)}), (words.slice(1, 2), set())):
+        asked.clear()
+        assert set(zip(*map(list, retrieval.token_rows(part, inside)))) == want
+        assert len(asked) == len(set(asked))
