@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,10 +17,14 @@ from pyspark.sql import types as T
 
 from corvane.functions.text import SPACE_CHARS
 from corvane.operators import registry
-from corvane.operators.relational import latest_per_key
+from corvane.operators.relational import latest_per_key, union_all
 from corvane.session import through_table
 
 CORRUPT = "_corrupt"
+LISTED = 10_000  # names of a folder in one batch
+HELD_BYTES = 4 << 20  # contents of files in one batch
+SHARE_BYTES = 64 << 20  # contents of files in one task
+HIDDEN = re.compile(r"_[^=]*$|\.|.*\._COPYING_$")
 
 
 def read_jsonl(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
@@ -96,19 +101,92 @@ def read_json_document(spark: SparkSession, path, schema: T.StructType) -> DataF
     return parsed.select(*[F.col(f"row.{n}").alias(n) for n in names])
 
 
+def _tree_place(root: str):
+    """Store and folder of ``root``, or None if pyarrow does not reach it."""
+    from pyarrow import ArrowInvalid, fs
+
+    try:
+        return fs.FileSystem.from_uri(root)
+    except (ArrowInvalid, NotImplementedError, OSError):
+        return None
+
+
+def _listed(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = _tree_place(root)
+        for batch in batches:
+            for folder in batch["path"]:
+                at = f"{base}/{folder}".rstrip("/")
+                # what Spark's readers pass over
+                found = [f for f in store.get_file_info(fs.FileSelector(at)) if not HIDDEN.match(f.base_name)]
+                found = [f for f in found if f.type == fs.FileType.Directory or (f.is_file and f.base_name.endswith(".md"))]
+                for start in range(0, len(found), LISTED):
+                    part = found[start : start + LISTED]
+                    yield pd.DataFrame({
+                        "path": [f"{folder}/{f.base_name}".lstrip("/") for f in part], "folder": [not f.is_file for f in part],
+                        "size": [f.size or 0 for f in part], "ms": [(f.mtime_ns or 0) // 1_000_000 for f in part]})
+
+    return run
+
+
+def _contents(root: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = _tree_place(root)
+        for batch in batches:
+            rows, held = [], 0
+            for path, ms in zip(batch["path"], batch["ms"]):
+                with store.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as at:
+                    content = at.read()
+                rows.append((path, content, len(content), ms))
+                held += len(content)
+                if held >= HELD_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "content", "length", "ms"])
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "content", "length", "ms"])
+
+    return run
+
+
 def read_markdown_tree(spark: SparkSession, root: str) -> DataFrame:
     """``(path, text, size_bytes, modified_at, checksum)`` of every markdown file below ``root``.
 
-    Paths are relative to ``root``.
+    Paths are relative to ``root``. Tasks list the folders, level by level, and read the files, shares
+    of them by their bytes: Spark's own scan keeps all file names on the driver and makes a task of
+    every 32 small files. It is left for stores that pyarrow does not reach.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-    )
-    clean = os.path.abspath(root).rstrip("/") if "://" not in root else root.rstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + clean.replace(".", r"\.") + "/", "")
+    root = root if ":/" in root else os.path.abspath(root)
+    place = _tree_place(root)
+    if place is None:
+        files = (
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+        )
+        clean = root.rstrip("/") if "://" in root else re.sub("^file:/+", "/", root).rstrip("/")
+        relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + clean.replace(".", r"\.") + "/", "")
+        files = files.select(relative.alias("path"), "content", "length", F.col("modificationTime").alias("modified_at"))
+    else:
+        from pyarrow import fs
+
+        if place[0].get_file_info(place[1]).type != fs.FileType.Directory:
+            raise FileNotFoundError(root)
+        cores = spark.sparkContext.defaultParallelism
+        levels, folders = [], spark.createDataFrame([("",)], "path string")
+        while True:
+            dealt = folders.select("path").repartition(cores)
+            level = through_table(dealt.mapInPandas(_listed(root), "path string, folder boolean, size bigint, ms bigint"), "tree-level")
+            levels.append(level.filter(~F.col("folder")))
+            folders = level.filter("folder")
+            if folders.isEmpty():
+                break
+        names = union_all(levels)
+        parts = max(cores, -(-(names.agg(F.sum("size")).first()[0] or 0) // SHARE_BYTES))
+        read = names.select("path", "ms").repartition(parts, F.xxhash64("path")).mapInPandas(
+            _contents(root), "path string, content binary, length bigint, ms bigint")
+        files = read.select("path", "content", "length", F.timestamp_millis("ms").alias("modified_at"))
     return files.select(
-        relative.alias("path"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("checksum"))
+        "path", F.decode("content", "UTF-8").alias("text"), F.col("length").alias("size_bytes"), "modified_at", F.sha2("content", 256).alias("checksum"))
 
 
 def latest_report(spark: SparkSession, root: str, pattern: str) -> DataFrame:

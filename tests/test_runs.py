@@ -193,3 +193,25 @@ def test_markdown_files_are_replaced_whole(spark, tmp_path):
     files.write_markdown_tree(spark.createDataFrame([("a/b.md", "long text"), ("c.md", "x")], "path string, text string"), root)
     files.write_markdown_tree(spark.createDataFrame([("a/b.md", "é")], "path string, text string"), root)
     assert {(r["path"], r["text"]) for r in files.read_markdown_tree(spark, root).collect()} == {("a/b.md", "é"), ("c.md", "x")}
+
+
+def test_markdown_tree_of_small_files_has_few_tasks(spark, tmp_path):
+    root = tmp_path / "t"
+    want = {}
+    for i in range(400):
+        path = f"{'a b/c.d/' if i % 2 else ''}e{i % 3}/n {i}.md"
+        want[path] = "ü" * (i % 5)
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(want[path])
+    for hidden in ("_h/x.md", ".h.md", "e0/_x.md", "e0/x.txt"):
+        (root / hidden).parent.mkdir(exist_ok=True)
+        (root / hidden).write_text("no")
+    tree = files.read_markdown_tree(spark, str(root))
+    rows = tree.collect()
+    assert {r["path"]: r["text"] for r in rows} == want and all(r["size_bytes"] == len(want[r["path"]].encode()) for r in rows)
+    assert {int(r["modified_at"].timestamp()) for r in rows} == {int((root / p).stat().st_mtime) for p in want}
+    assert tree.rdd.getNumPartitions() <= 8
+    (tmp_path / "none").mkdir()
+    assert files.read_markdown_tree(spark, f"file://{tmp_path}/none").count() == 0
+    with pytest.raises(Exception):
+        files.read_markdown_tree(spark, str(tmp_path / "missing")).count()
