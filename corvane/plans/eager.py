@@ -44,7 +44,8 @@ def write_scores(docs: DataFrame, root: str, k1: float = K1, b: float = B) -> No
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted.repartitionByRange(parts, "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{root}/counts")
     counts = spark.read.parquet(f"{root}/counts")
-    n, total = tokenised.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_t")), F.lit(0))).first()
+    # the words of all chunks are counted from the table, so that texts are tokenised once
+    n, total = docs.count(), counts.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     df.repartitionByRange(parts, "term").sortWithinPartitions("term").write.parquet(f"{root}/terms")
     idf = F.ln(1.0 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -215,3 +215,20 @@ def test_markdown_tree_of_small_files_has_few_tasks(spark, tmp_path):
     assert files.read_markdown_tree(spark, f"file://{tmp_path}/none").count() == 0
     with pytest.raises(Exception):
         files.read_markdown_tree(spark, str(tmp_path / "missing")).count()
+
+
+def test_eager_scores_read_texts_once(spark, tmp_path):
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        looked.add(1)
+        return "the cat sat" if n % 2 else ""
+
+    docs = spark.range(6).select(F.col("id").cast("string").alias("id"), F.lit("wiki").alias("title"), text.asNondeterministic()("id").alias("text"))
+    eager.write_scores(docs, str(tmp_path / "e"))
+    # six chunks of 12 words: cat and sat stand in three of them
+    idf, share = np.log(1 + (6 - 3 + 0.5) / 3.5), 1 / (1 + 1.5 * (0.25 + 0.75 * 3 / (12 / 6)))
+    got = {r["id"]: r["score"] for r in eager.eager_top(spark, str(tmp_path / "e"), spark.createDataFrame([(1, "cat")], "qid int, query string"), 9).collect()}
+    assert got == {i: round(idf * share, 9) for i in ("1", "3", "5")}
+    assert looked.value == 6
