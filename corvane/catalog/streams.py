@@ -10,6 +10,8 @@ from corvane.session import run_dir
 from corvane.streaming import jobs, keyed, tail
 
 QUARTERS = (0.25, 0.5, 0.75)
+# a tail for each so many events, and how many run side by side at most
+SHARE_EVENTS, TAIL_SHARES = 25_000, 8
 
 
 def arrivals(spark, sf):
@@ -89,11 +91,17 @@ def q_tail(spark, sf):
     """Events appended as JSON lines in three writes, tailed by byte offset, some thousand a batch; each write is a run."""
     folder, out = run_dir(spark, "tail-log"), run_dir(spark, "tail-table")
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    shares = max(1, min(TAIL_SHARES, e.count() // SHARE_EVENTS))
     broken = e.filter("event_id % 90 = 0").select(F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "us')).alias("value"))
     blank = e.filter("event_id % 70 = 0").select(F.lit("").alias("value"))
+
+    def into(share: int):
+        return lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/share={share}/batch={batch}")
+
     for rest in range(3):
         lot = e.filter(F.col("event_id") % 3 == rest).select(F.to_json(F.struct("*")).alias("value"))
-        lot.unionByName(broken).unionByName(blank).repartition(2, F.xxhash64("value")).write.mode("append").text(folder)
-        stream = tail.tail_events(spark, folder, "event_id bigint, user_id bigint, event_type string", limit=4000)
-        tail.drain(stream, lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}"), f"{out}-checkpoint")
+        lot.unionByName(broken).unionByName(blank).repartition(max(2, shares), F.xxhash64("value")).write.mode("append").text(folder)
+        tail.drain_all([
+            (tail.tail_events(spark, folder, "event_id bigint, user_id bigint, event_type string", 4000, n, shares), into(n), f"{out}-checkpoint-{n}")
+            for n in range(shares)])
     return spark.read.parquet(out).groupBy("event_id", "user_id", "event_type").agg(F.count(F.lit(1)).cast("int").alias("seen"))

@@ -4,12 +4,18 @@ A Python data source: its offset is the byte reached in each file, so a checkpoi
 restart needs. ``latestOffset`` looks ahead from the byte reached until it has met ``limit``
 events or the end; blank and broken lines, and lines that hold no object, move the offset without
 counting. The rows themselves are read by tasks, one for each file and range of a batch.
+
+A batch has a fixed cost and batches of one stream follow each other, so a large folder is dealt to
+several streams that run side by side: each has its share of the files, its own checkpoint and batches
+of at most ``limit`` events. A file stays in its share, so its events stay in order.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -61,15 +67,21 @@ def event_of(line: bytes) -> str | None:
         return None
 
 
+def share_of(name: str, shares: int) -> int:
+    """The share of a file: numbered files are dealt in turn, others by a hash of their name."""
+    number = re.search(r"\d+", name)
+    return (int(number[0]) if number else zlib.crc32(name.encode())) % shares
+
+
 class TailReader(DataSourceStreamReader):
-    def __init__(self, folder: str, limit: int) -> None:
-        self.folder, self.limit = folder, limit
+    def __init__(self, folder: str, limit: int, share: int = 0, shares: int = 1) -> None:
+        self.folder, self.limit, self.share, self.shares = folder, limit, share, shares
         self.reached: dict[str, int] | None = None
 
     def _files(self) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
         store, path = fs.FileSystem.from_uri(self.folder)
         found = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
-        kept = [f for f in found if f.is_file and f.size and not f.base_name.startswith(("_", "."))]
+        kept = [f for f in found if f.is_file and f.size and not f.base_name.startswith(("_", ".")) and share_of(f.base_name, self.shares) == self.share]
         # in the order in which they were written
         return store, sorted(kept, key=lambda f: (f.mtime_ns or 0, f.path))
 
@@ -111,7 +123,7 @@ class TailReader(DataSourceStreamReader):
 
 
 class EventTail(DataSource):
-    """``format("event_tail")`` with options ``path`` and ``limit``."""
+    """``format("event_tail")`` with options ``path``, ``limit``, ``share`` and ``shares``."""
 
     @classmethod
     def name(cls) -> str:
@@ -121,23 +133,33 @@ class EventTail(DataSource):
         return "path string, offset bigint, value string"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return TailReader(self.options["path"], int(self.options.get("limit", LIMIT)))
+        return TailReader(self.options["path"], int(self.options.get("limit", LIMIT)), int(self.options.get("share", 0)), int(self.options.get("shares", 1)))
 
 
-def tail_events(spark: SparkSession, folder: str, schema: str, limit: int = LIMIT) -> DataFrame:
+def tail_events(spark: SparkSession, folder: str, schema: str, limit: int = LIMIT, share: int = 0, shares: int = 1) -> DataFrame:
     """Events of the JSON lines in ``folder`` as a stream of ``schema``, at most ``limit`` a batch.
 
-    ``path`` and ``offset``, the byte after the event's line, come first.
+    ``path`` and ``offset``, the byte after the event's line, come first. With ``shares`` the stream
+    has the files of its ``share`` only; all shares together have each file once.
     """
     spark.dataSource.register(EventTail)
-    rows = spark.readStream.format("event_tail").option("path", folder).option("limit", limit).load()
+    rows = spark.readStream.format("event_tail").option("path", folder).options(limit=limit, share=share, shares=shares).load()
     return rows.select("path", "offset", F.from_json("value", schema).alias("_event")).select("path", "offset", "_event.*")
 
 
 def drain(stream: DataFrame, each_batch, checkpoint: str) -> None:
     """Batch after batch through ``each_batch(df, batch_id)`` until nothing is left."""
-    query = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint).start()
+    drain_all([(stream, each_batch, checkpoint)])
+
+
+def drain_all(streams: list[tuple[DataFrame, Callable, str]]) -> None:
+    """The same for several ``(stream, each_batch, checkpoint)`` side by side."""
+    queries = []
     try:
-        query.processAllAvailable()
+        for stream, each_batch, checkpoint in streams:
+            queries.append(stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint).start())
+        for query in queries:
+            query.processAllAvailable()
     finally:
-        query.stop()
+        for query in queries:
+            query.stop()

@@ -58,6 +58,36 @@ def test_tail_is_capped_and_restarts(spark, tmp_path):
     assert seen == list(range(230))
 
 
+def test_tail_in_shares_reads_each_event_once(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    sizes, seen = [], [[], [], []]
+
+    def keep(share):
+        def each(df, batch):
+            rows = df.collect()
+            sizes.append(len(rows))
+            seen[share].extend(r["event_id"] for r in rows)
+        return each
+
+    def run():
+        tail.drain_all([(tail.tail_events(spark, str(folder), EVENT, 20, n, 3), keep(n), str(tmp_path / f"c{n}")) for n in range(3)])
+
+    names = ["part-00000-a9", "part-00001-a9", "part-00002-a9", "part-00004-a9", "notes"]
+    for n, name in enumerate(names):
+        (folder / name).write_text("".join(json.dumps({"event_id": 100 * n + i, "what": ""}) + "\n" for i in range(50)))
+    run()
+    with open(folder / names[1], "a") as f:
+        f.write(json.dumps({"event_id": 150, "what": ""}) + "\n")
+    run()
+    assert max(sizes) <= 20 and [len(s) >= 50 for s in seen] == [True] * 3
+    assert sorted(sum(seen, [])) == sorted([*(100 * n + i for n in range(5) for i in range(50)), 150])
+    for share in seen:  # a file's events stay in order, in one share
+        for n in range(5):
+            own = [x for x in share if x // 100 == n]
+            assert own == sorted(own) and len(own) in (0, 50, 51)
+
+
 def test_missing_folder_is_an_empty_tail(spark, tmp_path):
     seen = []
     tail.drain(tail.tail_events(spark, str(tmp_path / "none"), EVENT), lambda df, batch: seen.append(df.count()), str(tmp_path / "c"))
