@@ -144,6 +144,20 @@ def test_asks_wait_for_their_outcome(spark, tmp_path):
     assert {tuple(r) for r in keyed.settled(joined).collect()} == {(0, "ingest_failed", 3), (1, "pending", None), (2, "pending", None)}
 
 
+def test_join_has_one_store_a_partition_and_replays_no_log(spark, tmp_path):
+    def job(s):
+        asks = s.filter("event = 'ask'").select(F.col("user_id").alias("key"), F.col("event_id").alias("ask_id"), F.col("ts").alias("asked_at"))
+        done = s.filter("event <> 'ask'").select(F.col("user_id").alias("key"), F.col("event_id").alias("outcome_id"), F.col("event").alias("outcome"), F.col("ts").alias("done_at"))
+        return keyed.asks_with_outcomes(asks, done, "100 SECONDS", "10 seconds")
+
+    rows = [[(u, 10 * n + u, "ask" if u % 2 else "failed", 1000 + 60 * n) for u in range(10)] for n in range(4)]
+    lots(spark, str(tmp_path / "in"), rows, job, "append", str(tmp_path / "c"))
+    stores = [d for d, _, files in os.walk(tmp_path / "c" / "state") if any(f.endswith((".zip", ".changelog")) for f in files)]
+    partitions = [p for p in os.listdir(tmp_path / "c" / "state" / "0") if p.isdigit()]
+    assert stores and len(stores) <= len(partitions)
+    assert not [f for _, _, files in os.walk(tmp_path / "c" / "state") for f in files if f.endswith(".changelog")]
+
+
 @pytest.mark.parametrize("name", ["q_budget", "q_guard", "q_settled", "q_tail"])
 def test_stream_queries_have_rows(spark, name):
     assert getattr(streams, name)(spark, SF).count() > 0 and os.path.exists(SF)
