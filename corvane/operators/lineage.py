@@ -12,6 +12,10 @@ from corvane.operators.registry import INTEGRATED
 from corvane.session import through_table
 
 
+# sources and pages grow with the tables: joined by shuffles, so that no part of them passes through the driver
+SHUFFLED = "merge"
+
+
 def check_hashes(entries: DataFrame, pos: str = "pos") -> tuple[DataFrame, DataFrame]:
     """``(valid, errors)`` of ``(source_id, content_hash)`` rows; the last valid row wins."""
     no_id = X.strip(X.text_or_empty(F.col("source_id"))) == ""
@@ -27,7 +31,7 @@ def transitions(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Sources in both snapshots whose hash differs."""
     old = previous.select("source_id", F.col("content_hash").alias("old_hash"))
     new = current.select("source_id", F.col("content_hash").alias("new_hash"))
-    return old.join(new, "source_id").filter("old_hash <> new_hash")
+    return old.join(new.hint(SHUFFLED), "source_id").filter("old_hash <> new_hash")
 
 
 def stale_links(changed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,14 +41,14 @@ def stale_links(changed: DataFrame, edges: DataFrame) -> DataFrame:
     of all pages, so its edges are salted by their count.
     """
     weights = edges.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
-    dim = changed.select("source_id").join(weights, "source_id")
-    return lookup(edges, dim, ["source_id"], "_n", how="inner", spread=["page_id"]).select("source_id", "page_id")
+    dim = changed.select("source_id").join(weights.hint(SHUFFLED), "source_id")
+    return lookup(edges, dim, ["source_id"], "_n", how="inner", spread=["page_id"], join_hint=SHUFFLED).select("source_id", "page_id")
 
 
 def transition_counts(changed: DataFrame, links: DataFrame) -> DataFrame:
     """Each transition with its number of affected pages; pageless ones stay."""
     n = links.groupBy("source_id").agg(F.count(F.lit(1)).alias("affected_pages"))
-    return changed.join(n, "source_id", "left").select(
+    return changed.join(n.hint(SHUFFLED), "source_id", "left").select(
         "source_id", "old_hash", "new_hash", F.coalesce("affected_pages", F.lit(0)).alias("affected_pages"),
         F.lit("source_hash_changed").alias("reason"))
 

@@ -135,5 +135,5 @@ def stale_packet(previous: DataFrame, current: DataFrame, edges: DataFrame) -> d
     hashes = current.select("source_id", F.col("content_hash").alias("hash"))
     return {
         "transitions": lineage.transition_counts(changed, links), "stale_pages": lineage.stale_pages(links),
-        "source_map": links.join(hashes, "source_id").select("page_id", "source_id", "hash"),
+        "source_map": links.join(hashes.hint(lineage.SHUFFLED), "source_id").select("page_id", "source_id", "hash"),
     }

@@ -304,3 +304,15 @@ def test_batches_for_python_are_bounded_by_bytes(spark):
     configure(spark)
     found = [r["n"] for r in rows.mapInArrow(sizes, "n bigint").collect()]
     assert sum(found) >= 20_000_000 and max(found) < 6_000_000
+
+
+def test_stale_packet_sends_no_table_through_the_driver(spark):
+    from corvane.plans import maintenance
+
+    hashes = lambda extra: spark.range(50).select(F.concat(F.lit("s"), "id").alias("source_id"), F.sha1(F.concat(F.col("id").cast("string"), F.lit(extra))).alias("content_hash"))
+    edges = spark.range(50).select(F.concat(F.lit("s"), "id").alias("source_id"), F.concat(F.lit("p"), F.expr("id div 7")).alias("page_id"))
+    for name, rows in maintenance.stale_packet(hashes(""), hashes("!"), edges).items():
+        joins = [line for line in rows._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+        # the list of hot keys, which is bounded, may be broadcast
+        assert not [line for line in joins if "LeftOuter" not in line or "_salt" in line], name
+        assert rows.count() == (8 if name == "stale_pages" else 50)
