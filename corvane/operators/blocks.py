@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corvane.operators.relational import top_k
 
 BLOCK_CELLS = 4_000_000
+OUT_ROWS = 50_000
 DIGITS = 9
 
 
@@ -96,6 +97,29 @@ def block_top_k(
     return top_k(rows.mapInArrow(run, schema), ["qid", *by], [F.col("score").desc(), F.col("id")], k)
 
 
+def block_scores(rows: DataFrame, qids: list, qid_type: T.DataType, carry: list[str], score, block_rows: int) -> DataFrame:
+    """``(qid, carry..., score)`` of every query and row with a score above zero, in the blocks they are read in.
+
+    ``score(batch)`` gives queries by documents. ``rows`` has the columns ``carry`` and what ``score`` reads.
+    """
+    schema = T.StructType([T.StructField("qid", qid_type), *[T.StructField(c, rows.schema[c].dataType) for c in carry], T.StructField("score", T.DoubleType())])
+    kinds = [f.type for f in to_arrow_schema(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(qids, kinds[0])
+        for whole in batches:
+            for start in range(0, whole.num_rows, block_rows):
+                batch = whole.slice(start, block_rows)
+                scores = score(batch)
+                q, c = np.nonzero(scores > 0)
+                for at in range(0, len(q), OUT_ROWS):
+                    own, found = q[at : at + OUT_ROWS], c[at : at + OUT_ROWS]
+                    values = [names.take(pa.array(own)), *[batch.column(n).take(pa.array(found)) for n in carry], pa.array(scores[own, found])]
+                    yield pa.RecordBatch.from_arrays([v.cast(kind) for v, kind in zip(values, kinds)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def token_weights(batch: pa.RecordBatch, positions: np.ndarray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Term counts (documents by vocabulary) and token totals of the rows at ``positions``."""
     tokens = batch.column("tokens").take(pa.array(positions))

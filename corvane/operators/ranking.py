@@ -10,7 +10,8 @@ Tables used here:
 Two forms of both scores. ``bm25_top`` and ``tfidf_top`` give the best ``k`` of a small
 query set: document frequencies first, then one pass that scores blocks of chunks as
 matrix products and shuffles only each task's best rows. ``bm25_scores`` and
-``tfidf_scores`` give every score, for query sets of any size.
+``tfidf_scores`` give every score, for query sets of any size; of a small one ``bm25_scores``
+makes them in the same blocks and shuffles none.
 
 Shuffle plan of the full scores: the token rows are first cut down to the
 query vocabulary where they are read, then partitioned once by ``id``. Term counts,
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import content_tokens, search_tokens, tokens
-from corvane.operators.blocks import BLOCK_CELLS, block_top_k, token_weights
+from corvane.operators.blocks import BLOCK_CELLS, block_scores, block_top_k, token_weights
 from corvane.operators.relational import is_small, lookup, top_k
 
 K1, B = 1.5, 0.75
@@ -103,6 +104,19 @@ def bm25_scores(
     without content tokens count neither for N nor for the average length. Small columns
     named in ``carry`` travel with the chunk, which saves a join of all scores later.
     """
+    small = _small_terms(queries, search_tokens(F.col("query")))
+    if small is None:
+        return bm25_joined(docs, queries, k1, b, carry)
+    body, weigh = _bm25_blocks(docs, ["id", "corpus", *carry], small, k1, b)
+    scores = block_scores(
+        body, small[0], queries.schema["qid"].dataType, ["corpus", "id", *carry], lambda batch: weigh(batch, np.arange(batch.num_rows)), _block_rows(small[1]))
+    return scores.withColumn("score", _round_score(F.col("score"))).filter(F.col("score") > 0)
+
+
+def bm25_joined(
+    docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """The same by a join of chunks and queries on their terms, for query sets of any size."""
     terms = query_terms(queries, search_tokens(F.col("query"))).select("qid", "term")
     # no filter on the length: it would be pushed below and tokenise every text twice
     tokenised = docs.select("id", "corpus", *carry, content_tokens(F.concat_ws("\n", "title", "text")).alias("_t"))
@@ -183,17 +197,10 @@ def _corpus_stats(rows: DataFrame, places: dict, keys: list[str]) -> tuple[dict,
     return totals, {(*(r[k] for k in keys), r["term"]): r["df"] for r in found if r["term"]}
 
 
-def bm25_top(
-    docs: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), k1: float = K1, b: float = B
-) -> DataFrame:
-    """``(qid, by..., id, score, rank)``: best ``k`` chunks of each query and group by BM25."""
-    small = _small_terms(queries, search_tokens(F.col("query")))
-    order = [F.col("score").desc(), F.col("id")]
-    if small is None:
-        carry = tuple(c for c in by if c != "corpus")
-        return top_k(bm25_scores(docs, queries, k1, b, carry).select("qid", *by, "id", "score"), ["qid", *by], order, k)
+def _bm25_blocks(docs: DataFrame, cols: list[str], small: tuple[list, dict, list[tuple]], k1: float, b: float):
+    """Tokenised chunks, and the scores (queries by documents) of rows of a batch of them."""
     qids, places, rows = small
-    body = docs.select("id", *by, content_tokens(F.concat_ws("\n", "title", "text")).alias("tokens"))
+    body = docs.select(*cols, content_tokens(F.concat_ws("\n", "title", "text")).alias("tokens"))
     totals, df = _corpus_stats(body, places, [])
     _, n_docs, total = totals.get((), (0, 0, 0))
     matrix = np.zeros((len(places), len(qids)))
@@ -204,11 +211,29 @@ def bm25_top(
     mean = total / n_docs if n_docs else 1.0
     shared = docs.sparkSession.sparkContext.broadcast((list(places), matrix))
 
-    def score(batch, positions, key):
+    def weigh(batch, positions):
         terms, weights = shared.value
         tf, lengths = token_weights(batch, positions, pa.array(terms, pa.string()))
         return ((tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * lengths[:, None] / mean)) @ weights).T
 
+    return body, weigh
+
+
+def bm25_top(
+    docs: DataFrame, queries: DataFrame, k: int, by: tuple[str, ...] = (), k1: float = K1, b: float = B
+) -> DataFrame:
+    """``(qid, by..., id, score, rank)``: best ``k`` chunks of each query and group by BM25."""
+    small = _small_terms(queries, search_tokens(F.col("query")))
+    order = [F.col("score").desc(), F.col("id")]
+    if small is None:
+        carry = tuple(c for c in by if c != "corpus")
+        return top_k(bm25_joined(docs, queries, k1, b, carry).select("qid", *by, "id", "score"), ["qid", *by], order, k)
+    qids, places, _ = small
+    body, weigh = _bm25_blocks(docs, ["id", *by], small, k1, b)
+
+    def score(batch, positions, key):
+        return weigh(batch, positions)
+
     return block_top_k(
         body, qids, queries.schema["qid"].dataType, list(by), k, score, lambda s: s > 0, _block_rows(places))
 

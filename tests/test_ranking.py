@@ -281,3 +281,15 @@ def test_page_words_are_looked_up_once():
         asked.clear()
         assert set(zip(*map(list, retrieval.token_rows(part, inside)))) == want
         assert len(asked) == len(set(asked))
+
+
+def test_full_scores_of_a_small_query_set_shuffle_no_pairs(spark, docs, queries, monkeypatch):
+    monkeypatch.setattr(ranking, "is_small", lambda df: True)
+    monkeypatch.setattr(ranking, "BLOCK_CELLS", 40)
+    many = docs.crossJoin(spark.range(30).withColumnRenamed("id", "n")).withColumn("id", F.concat_ws("-", "id", "n")).drop("n")
+    block = ranking.bm25_scores(many, queries, carry=("title",))
+    joined = ranking.bm25_joined(many, queries, carry=("title",))
+    assert block.columns == joined.columns and block.count() == joined.count() > 100
+    assert block.exceptAll(joined.select(block.columns)).isEmpty()
+    assert "Aggregate" in joined._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in block._jdf.queryExecution().executedPlan().toString()
