@@ -21,9 +21,11 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -57,12 +59,6 @@ class Vocabulary:
         self.pieces, self.bytes, self.unknown = pieces, bytes_ if len(bytes_) == 256 else {}, unknown
         self.longest = max(map(len, pieces), default=1)
         self.unknown_score = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        self.trie: dict = {}
-        for piece, found in pieces.items():
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = found
         self.text = [b""] * size
         for piece, (i, _) in pieces.items():
             self.text[i] = piece.replace(MARK, " ").encode("utf-8")
@@ -70,12 +66,25 @@ class Vocabulary:
             self.text[i] = bytes([b])
         if 0 <= unknown < size:
             self.text[unknown] = " ⁇ ".encode()
+        # the same for whole columns of ids; what lies outside is the last, empty one
+        self.spellings = pa.array([*self.text, b""], pa.large_binary())
         crossed = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         joined = {c for p in pieces if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\r\t" if c not in joined)
         # segments no piece reaches beyond; one segment, the whole text, if pieces cross the marks
         self.segments = None if crossed else re.compile(f"[{alone}]|{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if alone else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
+    @cached_property
+    def trie(self) -> dict:
+        """For each character the nodes that follow, under "" the score of the piece that ends here; only encoding asks for it."""
+        root: dict = {}
+        for piece, (_, score) in self.pieces.items():
+            node = root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = score
+        return root
+
     def spelled(self, char: str) -> list[int]:
         """Ids of a character that no piece covers; of a literal word mark, which is not a blank."""
         return [self.bytes[b] for b in char.encode("utf-8")] if self.bytes else [self.unknown]
@@ -117,17 +126,18 @@ class StreamingViterbi:
         return out
 
     def _enter(self, stop: int) -> None:
-        trie, text, best, back, unknown = self.v.trie, self.text, self.best, self.back, self.v.unknown_score
+        trie, longest, text, best, back, unknown = self.v.trie, self.v.longest, self.text, self.best, self.back, self.v.unknown_score
         for i in range(self.done, stop):
             score, node, one = best[i], trie, False
             j = i
-            for c in text[i : i + self.v.longest]:
-                if c not in node:
+            for c in text[i : i + longest]:
+                node = node.get(c)
+                if node is None:
                     break
-                node = node[c]
                 j += 1
-                if "" in node:
-                    total = score + node[""][1]
+                own = node.get("")
+                if own is not None:
+                    total = score + own
                     if j == i + 1:
                         one = True
                     if total > best[j]:
@@ -207,7 +217,11 @@ class Encoder:
             return b""
         if self.v.segments is None:
             return self.segment(text)
-        return b"".join(map(self.segment, self.v.segments.findall(text)))
+        parts = self.v.segments.findall(text)
+        found = list(map(self.known.get, parts))
+        if None in found:
+            found = [self.segment(part) if ids is None else ids for part, ids in zip(parts, found)]
+        return b"".join(found)
 
 
 def _encode(sent, names: list[str]):
@@ -234,9 +248,17 @@ def _encode(sent, names: list[str]):
 
 def decoded(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     """Text of ids; ids outside the vocabulary and control pieces are nothing, bad bytes U+FFFD."""
-    table = vocabulary.text
-    whole = b"".join([table[i] if 0 <= i < len(table) else b"" for i in ids.tolist()])
-    return (whole[1:] if whole.startswith(b" ") else whole).decode("utf-8", "replace")
+    return decoded_all(vocabulary, ids, np.array([0, len(ids)]))[0]
+
+
+def decoded_all(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+    """The texts of the lists of ids that lie between ``bounds``."""
+    size = len(vocabulary.text)
+    spelled = vocabulary.spellings.take(pa.array(np.where((ids >= 0) & (ids < size), ids, size)))
+    whole = memoryview(spelled.buffers()[2] or b"")
+    ends = np.frombuffer(spelled.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    at = ends[bounds].tolist()
+    return [str(whole[a + 1 if a < b and whole[a] == 0x20 else a : b], "utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
 
 
 def _decode(sent, names: list[str]):
@@ -244,9 +266,17 @@ def _decode(sent, names: list[str]):
         vocabulary = Vocabulary(sent.value)
         for batch in batches:
             column = batch.column("ids")
-            values, offsets, valid = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid().to_pylist()
-            texts = [decoded(vocabulary, values[a:b]) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
+            ends = column.offsets.to_numpy().astype(np.int64)
+            start = 0
+            while start < batch.num_rows:  # texts of bounded size at a time
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + 1_000_000, "right")) - 1)
+                first, last = int(ends[start]), int(ends[stop])
+                ids = column.values.slice(first, last - first).to_numpy(zero_copy_only=False)
+                texts = pa.array(decoded_all(vocabulary, ids, ends[start : stop + 1] - first), pa.string())
+                valid = column.slice(start, stop - start).is_valid()
+                texts = pc.if_else(valid, texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, stop - start) for c in names), texts], names=[*names, "decoded"])
+                start = stop
 
     return run
 

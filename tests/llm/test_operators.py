@@ -532,3 +532,14 @@ def test_search_of_nothing(spark, none, odd):
     asked = odd.select(F.col("doc_id").alias("query_id"), "text")
     assert search.search(search.build_index(none), asked).collect() == []
     assert search.search(search.build_index(odd), asked.limit(0)).collect() == []
+
+
+def test_columns_of_ids_decode_at_once_without_a_trie():
+    table = {c: (i, -1.0) for i, c in enumerate(["▁", "a", "▁b", "é"])}
+    vocabulary = pieces.Vocabulary.of(table, {b: 10 + b for b in range(256)}, 4, 270)
+    lists = [[0, 1, 2], [], [2], [10 + 0xFF, 1], [-1, 1, 5000], [10 + 0xC3, 10 + 0xA9, 3, 4], [0, 0, 1]]
+    bounds = np.cumsum([0, *map(len, lists)])
+    got = pieces.decoded_all(vocabulary, np.array(sum(lists, []), np.int32), bounds)
+    assert got == ["a b", "", "b", "�a", "a", "éé ⁇ ", " a"]
+    assert [pieces.decoded(vocabulary, np.array(ids, np.int32)) for ids in lists] == got
+    assert "trie" not in vars(vocabulary)
