@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,23 @@ def test_score_is_exact_past_64_bits(spark):
     a = 3_037_000_501
     row = spark.sql(f"SELECT {a}L AS a, {a + 1}L AS l1, {a + 2}L AS r1").selectExpr(collocations.SCORE.format(k=1) + " AS s").first()
     assert row["s"] == 10**6 * a * a // ((a + 1) * (a + 2))
+
+
+@pytest.mark.parametrize("length", [1, 2])
+def test_proposals_are_the_same_by_numbers_and_by_groups(monkeypatch, length):
+    texts = ["a b c a b c. b c a b", "c c c c", "", "a b c d"]
+    block = pa.RecordBatch.from_arrays([pa.array(["x", "y", "x", "y"]), pa.array(texts)], names=["lang", "text"])
+    phrases = {1: ["a", "b", "c"], 2: ["a b", "b c", "c c"]}[length]
+    trie, _ = collocations.Trie.build(sorted(f"1:{lang}{p}".encode() for lang in "xy" for p in phrases))
+    known = np.full(1 << collocations.FILTER_BITS >> 3, 255, np.uint8)
+
+    def run():
+        positions = collocations.Positions(block, trie, {})
+        lang, phrase, n = positions.proposals(positions.accepted(trie, length), length, known)
+        return dict(zip(zip(lang.to_pylist(), phrase.to_pylist()), n.tolist()))
+
+    numbers = run()
+    monkeypatch.setattr(collocations, "KEY_BITS", 0)
+    assert run() == numbers
+    assert numbers[("x", "a b") if length == 1 else ("x", "a b c")] == (3 if length == 1 else 2)
+    assert ("y", "c d" if length == 1 else "b c d") in numbers and ("x", "c b") not in numbers
