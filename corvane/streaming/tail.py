@@ -13,11 +13,14 @@ of at most ``limit`` events. A file stays in its share, so its events stay in or
 from __future__ import annotations
 
 import json
+import logging
 import re
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
 from pyarrow import fs
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -26,6 +29,9 @@ CHUNK = 1 << 20
 LIMIT = 200
 # what one look ahead reads at most, so that a long run of broken lines is passed in several batches
 LOOK_AHEAD = 64 << 20
+# how many streams start at a time, and how often one is started before its error counts
+STARTING, TRIES = 3, 3
+_LOG = logging.getLogger(__name__)
 
 
 class Range(InputPartition):
@@ -152,14 +158,37 @@ def drain(stream: DataFrame, each_batch, checkpoint: str) -> None:
     drain_all([(stream, each_batch, checkpoint)])
 
 
-def drain_all(streams: list[tuple[DataFrame, Callable, str]]) -> None:
-    """The same for several ``(stream, each_batch, checkpoint)`` side by side."""
-    queries = []
+def drain_all(streams: list[tuple[DataFrame, Callable, str]], tries: int = TRIES) -> None:
+    """The same for several ``(stream, each_batch, checkpoint)`` side by side.
+
+    A stream starts a Python process for its source, which must answer within seconds. So ``STARTING`` of
+    them start at a time. A stream that fails all the same goes on from its checkpoint, once the others are
+    through; after ``tries`` starts its error is raised.
+    """
+    for left in reversed(range(tries)):
+        streams = _drain_once(streams, last=not left)
+        if not streams:
+            break
+
+
+def _drain_once(streams: list[tuple[DataFrame, Callable, str]], last: bool) -> list[tuple[DataFrame, Callable, str]]:
+    """Those of ``streams`` that failed; on the ``last`` try their error is raised."""
+    queries, failed = [], []
     try:
         for stream, each_batch, checkpoint in streams:
-            queries.append(stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint).start())
-        for query in queries:
-            query.processAllAvailable()
+            query = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint).start()
+            queries.append(query)
+            while sum(q.isActive and q.status["message"].startswith("Initializing") for q in queries) >= STARTING:
+                time.sleep(0.02)
+        for stream, query in zip(streams, queries):
+            try:
+                query.processAllAvailable()
+            except StreamingQueryException:
+                if last:
+                    raise
+                _LOG.exception("a stream failed and goes on from its checkpoint")
+                failed.append(stream)
     finally:
         for query in queries:
             query.stop()
+    return failed

@@ -88,6 +88,39 @@ def test_tail_in_shares_reads_each_event_once(spark, tmp_path):
             assert own == sorted(own) and len(own) in (0, 50, 51)
 
 
+def test_tails_go_on_after_a_failure(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"part-0000{n}").write_text("".join(json.dumps({"event_id": 100 * n + i, "what": ""}) + "\n" for i in range(30)))
+    seen, failures = {}, []
+
+    def keep(share):
+        def each(df, batch):
+            if share == 1 and batch == 1 and not failures:
+                failures.append(batch)
+                raise RuntimeError("a worker did not connect back")
+            seen[share, batch] = [r["event_id"] for r in df.collect()]
+        return each
+
+    def run(each):
+        tail.drain_all([(tail.tail_events(spark, str(folder), EVENT, 20, n, 3), each(n), str(tmp_path / f"{each.__name__}{n}")) for n in range(3)])
+
+    run(keep)
+    assert failures == [1]
+    assert sorted(sum(seen.values(), [])) == sorted(100 * n + i for n in range(3) for i in range(30))
+
+    def broken(share):
+        def each(df, batch):
+            failures.append(share)
+            raise RuntimeError("for good")
+        return each
+
+    with pytest.raises(Exception, match="for good"):
+        run(broken)
+    assert failures.count(2) == tail.TRIES
+
+
 def test_missing_folder_is_an_empty_tail(spark, tmp_path):
     seen = []
     tail.drain(tail.tail_events(spark, str(tmp_path / "none"), EVENT), lambda df, batch: seen.append(df.count()), str(tmp_path / "c"))
