@@ -1,4 +1,5 @@
 import math
+import os
 import re
 from collections import Counter
 
@@ -8,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.text import STOP_WORDS
-from corvane.plans import lexical
 from corvane.operators import neighbours, ranking, relational, retrieval
+from corvane.plans import lexical
+from corvane.session import shared_dir
 
 TEXTS = [
     ("wiki", "Tuition", "tuition and fee schedule tuition due in march"), ("wiki", "Housing", "housing and dining for students"),
@@ -269,6 +271,19 @@ def test_stored_terms_are_counted_where_they_are_read(spark, tmp_path):
     assert sizes == {"raw": (2, 1, 4), "wiki": (1, 1, 1)}
 
 
+def test_stored_postings_leave_nothing_else_on_disk(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", "raw", "The title", f"word w{i} the") for i in range(20)], "id string, corpus string, title string, text string")
+    scratch = shared_dir(spark)
+    before = set(os.listdir(scratch))
+    lexical.write_postings(docs, str(tmp_path / "index"))
+    assert set(os.listdir(scratch)) == before  # what is written on the way is gone
+    parts = list((tmp_path / "index" / "plain_postings").glob("part-*"))
+    assert parts and all(".zstd." in p.name for p in parts)
+    rows = lambda kind, term: sorted((r["id"], r["dl"], r["tf"]) for r in spark.read.parquet(str(tmp_path / "index" / f"{kind}_postings")).filter(F.col("term") == term).collect())
+    assert rows("plain", "the") == sorted((f"d{i}", 3, 1) for i in range(20)) and rows("content", "the") == [] == rows("plain", "title")
+    assert rows("content", "title") == sorted((f"d{i}", 3, 1) for i in range(20))
+
+
 def test_page_words_are_looked_up_once():
     asked = []
 
