@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -528,6 +529,24 @@ def test_search_is_exact(spark, block, shard):
         assert [s for *_, s in mine] == pytest.approx([-s for s, _ in want])
 
 
+def test_bm25_floor_of_earlier_shards_spares_blocks_and_keeps_ties():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 12 if i < 40 else 400, 30)) for i in range(400)]
+    table = pa.table({"_id": pa.array(range(1, 401), pa.int64()), "text": texts})
+    row = next(search._index_shard((pa.scalar(0),), table.to_batches())).to_pylist()[0]
+    shard = search.Shard(row, 30.0, search.K1, search.B, 20)
+    names, words, starts, codes, weights = search.packed_queries([{"query": "q", "terms": ["none", "w1", "w2"], "weights": [9.0, 1.5, 1.25]}, {"query": "r", "terms": [], "weights": []}])
+    kinds = shard.kinds(words.decode().split(" "))[codes]
+    ids, less = shard.top(starts, kinds, weights, 5, np.zeros(2))
+    free = shard.scored
+    assert names == ["q", "r"] and np.isfinite(less[0]).all() and np.isinf(less[1]).all()
+    # a floor at the fifth score keeps all five, one above the best finds none and scores no block
+    again = shard.top(starts, kinds, weights, 5, np.array([-less[0, -1], 0.0]))
+    assert again[0].tolist() == ids.tolist() and again[1].tolist() == less.tolist() and shard.scored <= free
+    above = shard.top(starts, kinds, weights, 5, np.array([-less[0, 0] * 3, 0.0]))
+    assert np.isinf(above[1]).all() and shard.scored == 0 < free
+
+
 def test_search_of_nothing(spark, none, odd):
     asked = odd.select(F.col("doc_id").alias("query_id"), "text")
     assert search.search(search.build_index(none), asked).collect() == []
