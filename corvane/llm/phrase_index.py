@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.common import batches_of, keep
-from corvane.llm.tokens import Words, byte_class, text_blocks
+from corvane.llm.tokens import Words, byte_class, give_back, text_blocks
 
 WIDTH = 10
 WITHIN = 15
 SHARD_BYTES = 3_000_000
 PART_WINDOWS = 400_000
-CANDIDATES = 1_000_000
+CANDIDATES = 250_000
+# a row of the index is some MB: a writer holds no more than this and looks at it after each row
+GROUP_BYTES = 16_000_000
 # texts, and blocks of the index, handed to a task at once
 BATCH_ROWS, BATCH_BLOCKS = 1000, 2
 # The contract's word characters after lower-casing, as bytes and as a Java class.
@@ -81,6 +83,9 @@ def _index(names: list[str], shard_bytes: int):
                 pa.array([sizes.astype("<i4").tobytes()], pa.binary()), pa.array([places[order].astype("<i4").tobytes()], pa.binary())],
                 names=["shard", "docs", "terms", "term_ends", "sizes", "places"])
             shard += 1
+            del words, coded, codes, places, order, sizes, terms, ends, held
+        block = None
+        give_back()
 
     return run
 
@@ -99,7 +104,8 @@ def build_index(docs: DataFrame, carry: list[str], text: str = "text", shard_byt
         T.StructField("shard", T.LongType()), T.StructField("docs", T.ArrayType(inner)),
         *(T.StructField(n, T.BinaryType()) for n in ("terms", "term_ends", "sizes", "places"))])
     with batches_of(docs.sparkSession, BATCH_ROWS):
-        index = keep(rows.mapInArrow(_index([f"_c{i}" for i in range(len(names))], shard_bytes), schema), "phrase-index")
+        checks = {f"parquet.{what}.size.row.check.{edge}": 1 for what in ("block", "page") for edge in ("min", "max")}
+        index = keep(rows.mapInArrow(_index([f"_c{i}" for i in range(len(names))], shard_bytes), schema), "phrase-index", **{"parquet.block.size": GROUP_BYTES}, **checks)
     named = T.ArrayType(T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(names, inner.fields)), T.StructField("n_words", T.LongType())]))
     return index.withColumn("docs", F.col("docs").cast(named))
 
@@ -259,7 +265,8 @@ def _match(shared, within: int | None):
                     pa.array(np.full(len(docs), batch.column("shard")[i].as_py()), pa.int64()), pa.array(docs, pa.int32()), _listed(docs, doc, spans),
                     _listed(docs, hit_doc, items.take(pa.array(hit_item))), _listed(docs, near_doc, items.take(pa.array(near_item)))],
                     names=["shard", "at", "spans", "items", "near_items"])
-                del block
+                del block, row, window, start, close, close_doc
+        give_back()
 
     return run
 
@@ -286,7 +293,7 @@ def find(index: DataFrame, benchmark: DataFrame, width: int = WIDTH, within: int
     for part in range(parts):  # a pass for each part, whose windows are bounded
         rows = asked.filter(F.pmod(F.xxhash64("words", "item"), F.lit(parts)) == part)
         shared = spark.sparkContext.broadcast(Part(rows.toArrow()))
-        with batches_of(spark, BATCH_BLOCKS):
+        with batches_of(spark, BATCH_BLOCKS, BATCH_BLOCKS):
             hits = keep(stored.mapInArrow(_match(shared, within), schema), "phrases")
         shared.destroy()
         found = hits if found is None else found.unionByName(hits)

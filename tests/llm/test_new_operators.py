@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,19 @@ def brute_phrases(texts, items, width, within):
     return out
 
 
+def test_phrase_index_is_written_and_read_a_few_blocks_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(phrase_index, "GROUP_BYTES", 4000)
+    rng = random.Random(8)
+    table = spark.createDataFrame([(i, " ".join(rng.choice("abcdef") + str(rng.randrange(500)) for _ in range(300))) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    index = phrase_index.build_index(table, ["doc_id"], shard_bytes=1000)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata.num_row_groups for f in index.inputFiles()]
+    assert index.count() >= 50 and sum(groups) >= 10
+    sizes, read = [], phrase_index.keep
+    monkeypatch.setattr(phrase_index, "keep", lambda df, label, **o: (sizes.append(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")), read(df, label, **o))[1])
+    phrase_index.find(index, spark.createDataFrame([(1, "a1 b2")], "item_id bigint, text string"))
+    assert sizes[-1] == str(phrase_index.BATCH_BLOCKS) and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") != sizes[-1]
+
+
 @pytest.mark.parametrize("part_windows,shard_bytes", [(1_000_000, 1_000_000), (7, 1_000_000), (1_000_000, 90), (5, 60)])
 def test_phrases_equal_brute_force(spark, part_windows, shard_bytes):
     random.seed(5)
