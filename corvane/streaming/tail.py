@@ -162,23 +162,23 @@ def drain_all(streams: list[tuple[DataFrame, Callable, str]], tries: int = TRIES
     """The same for several ``(stream, each_batch, checkpoint)`` side by side.
 
     A stream starts a Python process for its source, which must answer within seconds. So ``STARTING`` of
-    them start at a time. A stream that fails all the same goes on from its checkpoint, once the others are
+    them start at a time. A stream that fails all the same goes on, one start at a time, from its checkpoint, once the others are
     through; after ``tries`` starts its error is raised.
     """
     for left in reversed(range(tries)):
-        streams = _drain_once(streams, last=not left)
+        streams = _drain_once(streams, STARTING if left == tries - 1 else 1, last=not left)
         if not streams:
             break
 
 
-def _drain_once(streams: list[tuple[DataFrame, Callable, str]], last: bool) -> list[tuple[DataFrame, Callable, str]]:
+def _drain_once(streams: list[tuple[DataFrame, Callable, str]], starting: int, last: bool) -> list[tuple[DataFrame, Callable, str]]:
     """Those of ``streams`` that failed; on the ``last`` try their error is raised."""
     queries, failed = [], []
     try:
         for stream, each_batch, checkpoint in streams:
             query = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint).start()
             queries.append(query)
-            while sum(q.isActive and q.status["message"].startswith("Initializing") for q in queries) >= STARTING:
+            while sum(q.isActive and q.status["message"].startswith("Initializing") for q in queries) >= starting:
                 time.sleep(0.02)
         for stream, query in zip(streams, queries):
             try:
